@@ -4,20 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import mixing
+from lodeweave.llm import chat, mixing, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse_and_render(_table(spark, sf_dir, "conversations"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(_table(spark, sf_dir, "documents"))
 
 
+#: The same rows by nested arrays of turns instead of hashes.
+_CHAT_SQL = """
+WITH clean AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS position FROM clean),
+rolled AS (
+  SELECT conv_id, position, count(*) OVER (PARTITION BY conv_id) AS n_turns,
+         string_agg(role || chr(1) || text || chr(2), '') OVER (PARTITION BY conv_id ORDER BY position) AS so_far
+  FROM placed),
+ends AS (SELECT so_far, n_turns, min(conv_id) AS conv_id, count(*) AS n_copies FROM rolled WHERE position = n_turns GROUP BY so_far, n_turns),
+kept AS (
+  SELECT * FROM ends e
+  WHERE NOT EXISTS (SELECT 1 FROM rolled r WHERE r.position < r.n_turns AND r.position = e.n_turns AND r.so_far = e.so_far))
+SELECT k.conv_id, k.n_turns, k.n_copies,
+       string_agg('<|im_start|>' || p.role || chr(10) || p.text || '<|im_end|>' || chr(10), '' ORDER BY p.position) AS text
+FROM kept k JOIN placed p ON p.conv_id IS NOT DISTINCT FROM k.conv_id
+GROUP BY k.conv_id, k.n_turns, k.n_copies
+"""
+
+
 def queries() -> dict:
-    return {"op10_mixing": op10_mixing}
+    return {f.__name__: f for f in (op3_chat_snapshots, op4_token_counts, op10_mixing)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op3_chat_snapshots": _CHAT_SQL}
