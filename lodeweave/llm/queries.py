@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import chat, mixing, token_counts
+from lodeweave.llm import chat, html_text, language_id, mixing, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(_table(spark, sf_dir, "documents"))
 
@@ -43,7 +51,7 @@ GROUP BY k.conv_id, k.n_turns, k.n_copies
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_chat_snapshots, op4_token_counts, op10_mixing)}
+    return {f.__name__: f for f in (op3_chat_snapshots, op4_token_counts, op6_language_id, op8_html_text, op10_mixing)}
 
 
 def oracle_sql() -> dict:
