@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import chat, html_text, language_id, mixing, token_counts
+from lodeweave.llm import chat, html_text, language_id, mixing, quality, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_and_render(_table(spark, sf_dir, "conversations"))
 
@@ -51,7 +55,7 @@ GROUP BY k.conv_id, k.n_turns, k.n_copies
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_chat_snapshots, op4_token_counts, op6_language_id, op8_html_text, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality, op3_chat_snapshots, op4_token_counts, op6_language_id, op8_html_text, op10_mixing)}
 
 
 def oracle_sql() -> dict:
