@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import chat, html_text, language_id, mixing, quality, token_counts
+from lodeweave.llm import byte_bpe, chat, html_text, language_id, mixing, quality, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(_table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ GROUP BY k.conv_id, k.n_turns, k.n_copies
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op3_chat_snapshots, op4_token_counts, op6_language_id, op8_html_text, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality, op3_chat_snapshots, op4_token_counts, op6_language_id, op8_html_text, op9_byte_bpe, op10_mixing)}
 
 
 def oracle_sql() -> dict:
