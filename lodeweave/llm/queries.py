@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import byte_bpe, chat, html_text, language_id, mixing, quality, token_counts
+from lodeweave.llm import byte_bpe, chat, html_text, language_id, mixing, near_dup, quality, token_counts, vector_dup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_vector_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dup.link_classes(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_and_render(_table(spark, sf_dir, "conversations"))
 
@@ -23,6 +27,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(_table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
@@ -59,7 +67,7 @@ GROUP BY k.conv_id, k.n_turns, k.n_copies
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op3_chat_snapshots, op4_token_counts, op6_language_id, op8_html_text, op9_byte_bpe, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality, op2_vector_near_dup, op3_chat_snapshots, op4_token_counts, op5_near_dup, op6_language_id, op8_html_text, op9_byte_bpe, op10_mixing)}
 
 
 def oracle_sql() -> dict:
