@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from lodeweave.plans import report
+
+_MODULES = (report,)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("source").agg(F.count("*").alias("n_docs")).orderBy("source")
+    return report.QUERIES["g03_embedder_leaderboard"][0](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {name: q for m in _MODULES for name, (q, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in _MODULES for name, (_, sql) in m.QUERIES.items() if sql}
