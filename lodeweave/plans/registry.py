@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.plans import report
+from lodeweave.plans import prepare, report
 
-_MODULES = (report,)
+_MODULES = (report, prepare)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
