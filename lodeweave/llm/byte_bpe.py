@@ -24,7 +24,7 @@ from lodeweave.llm._common import written
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: A chunk of documents holds about so many bytes of text.
-CHUNK_BYTES = 48 << 20
+CHUNK_BYTES = 12 << 20
 #: Primes and slots of the hash table.
 _P1, _P2, _P3, _SLOTS = 131_071, 32_749, 65_521, 131_072
 
@@ -155,7 +155,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str = public
             for at in range(0, batch.num_rows, 256):
                 for c, text in zip(chunks[at : at + 256], batch.column(1).slice(at, 256).to_pylist(), strict=True):
                     seen.setdefault(c, set()).update(find(text))
-                if sum(map(len, seen.values())) > 1_000_000:
+                if sum(map(len, seen.values())) > 300_000:
                     yield from rows()
         yield from rows()
 
