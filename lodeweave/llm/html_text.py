@@ -129,7 +129,7 @@ def best_container(found: list[tuple[str, str, int]], share: float = 0.8) -> tup
         x = max(0.0, len(text) - 2 * linked) + 20 * len(re.findall(r"[.!?](?:\s|$)", text)) * (linked == 0)
         total += x
         parts = path.split("/")
-        for k in range(2, len(parts) + 1):
+        for k in range(1, len(parts) + 1):
             worth["/".join(parts[:k])] += x
     fit = [(p.count("/"), x, p) for p, x in worth.items() if x >= share * total and x > 0]
     if not fit:

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 4), 16, 8
 #: The bound on labelled rows: about so many documents per language are fitted on, with so many windows each.
 FIT_DOCS, FIT_WINDOWS = 600, 3
-EPOCHS, BATCH, RATE, SEED = 12, 64, 0.003, 11
+#: Small samples are gone through more often than EPOCHS, until STEPS steps are made.
+EPOCHS, STEPS, BATCH, RATE, SEED = 12, 1350, 64, 0.003, 11
 LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
 
@@ -72,7 +73,7 @@ class ByteCNN:
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         t = 0
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(y)))):
             order = rng.permutation(len(y))
             for at in range(0, len(order), BATCH):
                 take = order[at : at + BATCH]
