@@ -5,36 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodeweave.operators.lineage import cut
+
 #: The ids of special tokens.
 SPECIALS = {"<s>": 0, "<pad>": 1, "</s>": 2, "<unk>": 3, "<mask>": 4}
 SEP = "\u0001"
 
 
-def adjacent_pairs(seqs: DataFrame) -> DataFrame:
-    """(left, right, n, first_row, first_at): adjacent tokens of (row_id, toks), overlapping ones too."""
+def adjacent_pairs(seqs: DataFrame, weight: str | None = None) -> DataFrame:
+    """(left, right, n, first_row, first_at): adjacent tokens of (row_id, toks), overlapping ones too; n sums weights, if there are."""
     pairs = F.transform(F.sequence(F.lit(0), F.size("toks") - 2), lambda i: F.struct(i.alias("at"), F.get("toks", i).alias("left"), F.get("toks", i + 1).alias("right")))
-    one = seqs.where("size(toks) >= 2").select("row_id", F.explode(pairs).alias("p"))
-    first = F.min(F.struct("row_id", "p.at"))
-    return one.groupBy("p.left", "p.right").agg(F.count("*").alias("n"), first.alias("first")).select("left", "right", "n", F.col("first.row_id").alias("first_row"), F.col("first.at").alias("first_at"))
+    one = seqs.where("size(toks) >= 2").select("row_id", F.explode(pairs).alias("p"), *[weight] * bool(weight))
+    n = F.sum(weight) if weight else F.count("*")
+    out = one.groupBy("p.left", "p.right").agg(n.alias("n"), F.min(F.struct("row_id", "p.at")).alias("first"))
+    return out.select("left", "right", "n", F.col("first.row_id").alias("first_row"), F.col("first.at").alias("first_at"))
 
 
-def train_merges(seqs: DataFrame, max_vocab: int, min_freq: int, max_pieces: int) -> list[str]:
+def train_merges(seqs: DataFrame, max_vocab: int, min_freq: int, max_pieces: int, cut_every: int = 4) -> list[str]:
     """The vocabulary in first-seen order: base tokens of (row_id, toks), then merges of the most frequent pair, the earliest on ties.
 
-    One aggregation a round reaches the driver as one row; the sequences stay distributed and their lineage is cut.
+    Equal sequences are one row with a weight and the first row's id. One aggregation a round reaches the driver as one
+    row; the sequences stay distributed, and their lineage is cut every few rounds.
     """
     base = seqs.select("row_id", F.posexplode("toks").alias("at", "tok")).groupBy("tok").agg(F.min(F.struct("row_id", "at")).alias("first")).orderBy("first").select("tok").collect()
     vocab = [r["tok"] for r in base]
     if not vocab:
         raise ValueError("the corpus has no well-formed sequence")
     size = dict.fromkeys(vocab, 1)
-    now = seqs
-    for turn in range(max_vocab):
-        if len(vocab) >= max_vocab:
-            break
-        pairs = adjacent_pairs(now)
-        spans = F.create_map(*[F.lit(x) for kv in size.items() for x in kv])
-        fit = pairs.where(F.coalesce(F.try_element_at(spans, "left"), F.lit(1)) + F.coalesce(F.try_element_at(spans, "right"), F.lit(1)) <= max_pieces)
+    now = cut(seqs.where("size(toks) > 1").groupBy("toks").agg(F.min("row_id").alias("row_id"), F.count("*").alias("weight")))
+    turn = 0
+    while len(vocab) < max_vocab:
+        fit = adjacent_pairs(now, "weight")
+        long = [t for t, n in size.items() if n > 1]
+        if long:  # tokens of one piece always fit
+            pieces = F.create_map(*[F.lit(x) for t in long for x in (t, size[t])])
+            fit = fit.where(F.coalesce(F.try_element_at(pieces, "left"), F.lit(1)) + F.coalesce(F.try_element_at(pieces, "right"), F.lit(1)) <= max_pieces)
         best = fit.orderBy(F.desc("n"), "first_row", "first_at").limit(1).collect()
         if not best or best[0]["n"] < min_freq:
             break
@@ -43,8 +48,9 @@ def train_merges(seqs: DataFrame, max_vocab: int, min_freq: int, max_pieces: int
             vocab.append(left + right)
             size[left + right] = size[left] + size[right]
         now = now.withColumn("toks", merged("toks", left, right)).where("size(toks) > 1")
-        if turn % 16 == 15:
-            now = now.checkpoint() if now.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else now
+        turn += 1
+        if turn % cut_every == 0:
+            now = cut(now)
     return vocab
 
 
