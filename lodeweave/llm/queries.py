@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import byte_bpe, chat, html_text, language_id, mixing, near_dup, quality, token_counts, vector_dup
+from lodeweave.llm import byte_bpe, chat, html_text, language_id, mixing, near_dup, quality, search, token_counts, vector_dup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op7_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return search.search(docs, docs.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
@@ -67,7 +72,7 @@ GROUP BY k.conv_id, k.n_turns, k.n_copies
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_vector_near_dup, op3_chat_snapshots, op4_token_counts, op5_near_dup, op6_language_id, op8_html_text, op9_byte_bpe, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality, op2_vector_near_dup, op3_chat_snapshots, op4_token_counts, op5_near_dup, op6_language_id, op7_bm25_top_k, op8_html_text, op9_byte_bpe, op10_mixing)}
 
 
 def oracle_sql() -> dict:

@@ -339,3 +339,32 @@ def test_permutation_is_one(spark):
         side = mixing.feistel_side(F.lit(n).cast("long"))
         out = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), side, F.lit(3))).collect()]
         assert sorted(out) == list(range(n))
+
+
+# ---- op7
+
+
+def test_search_equals_scoring_all(spark, documents):
+    from lodeweave.llm import search
+
+    texts = [r.text for r in documents.orderBy("doc_id").collect()] + [None, "", "the the the"]
+    docs = docs_of(spark, texts)
+    queries = docs.where("doc_id % 50 = 0 OR doc_id >= 200").select(F.col("doc_id").alias("query_id"), "text", "score")
+    got = {}
+    for r in search.search(docs, queries, k=7, shard_bytes=60_000, at_once=2).collect():
+        got.setdefault(r.query_id, {})[r.place] = (r.doc_id, r.score)
+    bags = [Counter(search.terms(t)) for t in texts]
+    df = Counter(t for b in bags for t in b)
+    mean = sum(sum(b.values()) for b in bags) / len(bags)
+    for q in [r.query_id for r in queries.collect()]:
+        score = []
+        for d, bag in enumerate(bags):
+            norm = search.K1 * (1 - search.B + search.B * sum(bag.values()) / mean)
+            s = sum(n * math.log(1 + (len(bags) - df[t] + 0.5) / (df[t] + 0.5)) * bag[t] * (search.K1 + 1) / (bag[t] + norm) for t, n in sorted(bags[q].items()) if bag[t])
+            score.append((-s, d))
+        want = [(d, -s) for s, d in sorted(score)[:7] if s < 0]
+        mine = [got.get(q, {}).get(p) for p in range(1, len(want) + 1)]
+        assert len(got.get(q, {})) == len(want)
+        assert [round(x[1], 9) for x in mine] == [round(x[1], 9) for x in want]
+        assert {x[0] for x, w in zip(mine, want, strict=True) if want.count(w) == 1} <= {d for d, s in want} | {x[0] for x in mine}
+    assert search.search(docs.limit(0), queries).count() == 0
