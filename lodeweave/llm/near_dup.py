@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeweave.llm._common import components, written
+from lodeweave.llm._common import components, dropped, written
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 4
@@ -226,10 +226,17 @@ def links(docs: DataFrame, exact: DataFrame, idf: np.ndarray, similarity: float
     texts = written(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
     sigs = written(exact.join(touched, "node", "left_semi").select("node", "sig").dropDuplicates(["node"]), "sigs")
     done: list[DataFrame] = []  # compared pairs: (a, b, same)
+    reps = 1  # of each bucket and round; four times as many each round, so rounds grow with the logarithm of its size
     while True:
-        first = state.groupBy("key").agg(F.min(F.struct("node", "label")).alias("rep")).select("key", F.col("rep.node").alias("a"), F.coalesce("rep.label", "rep.node").alias("a_label"))
+        own = F.coalesce("label", "node").alias("a_label")
+        if reps == 1:
+            first = state.groupBy("key").agg(F.min(F.struct("node", "label")).alias("rep")).select("key", F.col("rep.node").alias("a"), F.coalesce("rep.label", "rep.node").alias("a_label"))
+        else:
+            place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+            first = state.withColumn("place", place).where(F.col("place") <= reps).select("key", F.col("node").alias("a"), own)
+        first = written(first, "first")
         facing = state.join(first, "key").where("node > a AND (label IS NULL OR label <> a_label)")
-        facing = written(facing.select("key", "a", "a_label", F.col("node").alias("b"), "label"), "facing")
+        facing = written(facing.select("key", "a", "a_label", F.col("node").alias("b")), "facing")
         pairs = facing.select("a", "b").distinct()
         if not pairs.take(1):
             break
@@ -242,13 +249,17 @@ def links(docs: DataFrame, exact: DataFrame, idf: np.ndarray, similarity: float
         compared = written(pairs.join(same, ["a", "b"], "left").select("a", "b", F.coalesce("same", F.lit(False)).alias("same")), "compared")
         done.append(compared)
         linked = reduce(DataFrame.union, done).where("same").select("a", "b")
-        news = facing.join(linked, ["a", "b"], "left_semi").select("key", F.col("b").alias("node"), F.col("a_label").alias("new"))
-        rest = state.join(first.select("key", "a"), "key").where("node > a").select("key", "node", "label")
-        rest = rest.join(news, ["key", "node"], "left").select("key", "node", F.coalesce("new", "label").alias("label"))
+        news = facing.join(linked, ["a", "b"], "left_semi").groupBy("key", F.col("b").alias("node")).agg(F.min("a_label").alias("new"))
+        rest = state.join(first.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
+        rest = written(rest.join(news, ["key", "node"], "left").select("key", "node", F.coalesce("new", "label").alias("label")), "rest")
         # a bucket is through when its members share one label
-        by_key = Window.partitionBy("key")
-        open_ = rest.withColumn("least", F.min("label").over(by_key)).withColumn("most", F.max("label").over(by_key)).withColumn("bare", F.max(F.col("label").isNull()).over(by_key))
-        state = written(open_.where("bare OR least <> most").select("key", "node", "label"), "state")
+        through = rest.groupBy("key").agg(F.max(F.col("label").isNull()).alias("bare"), F.min("label").alias("least"), F.max("label").alias("most"))
+        still = through.where("bare OR least <> most").select("key")
+        dropped(state)
+        state = written(rest.join(still, "key", "left_semi"), "state")
+        for t in (first, facing, rest):
+            dropped(t)
+        reps *= 4
         spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the last round's shuffle files
     found = reduce(DataFrame.union, done).where("same").select("a", "b") if done else pairs.select("a", "b").limit(0)
     return found
