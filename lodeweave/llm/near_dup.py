@@ -219,50 +219,46 @@ def links(docs: DataFrame, exact: DataFrame, idf: np.ndarray, similarity: float
     spark = docs.sparkSession
     members = written(exact.select("node", F.explode("keys").alias("key")).distinct(), "members")
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    state = written(members.join(shared, "key").withColumn("label", F.lit(None).cast(exact.schema["node"].dataType)), "state")
+    state = written(members.join(shared, "key"), "shared")
     touched = state.select("node").distinct()
     # one row per id, also if rows repeat it
     texts = docs.join(touched, docs["doc_id"] == touched["node"], "left_semi").select(F.col("doc_id").alias("node"), "text")
     texts = written(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
     sigs = written(exact.join(touched, "node", "left_semi").select("node", "sig").dropDuplicates(["node"]), "sigs")
+    state = written(state.withColumn("label", F.col("node")), "state")
     done: list[DataFrame] = []  # compared pairs: (a, b, same)
     reps = 1  # of each bucket and round; four times as many each round, so rounds grow with the logarithm of its size
     while True:
-        own = F.coalesce("label", "node").alias("a_label")
         if reps == 1:
-            first = state.groupBy("key").agg(F.min(F.struct("node", "label")).alias("rep")).select("key", F.col("rep.node").alias("a"), F.coalesce("rep.label", "rep.node").alias("a_label"))
+            first = state.groupBy("key").agg(F.min(F.struct("node", "label")).alias("rep")).select("key", F.col("rep.node").alias("a"), F.col("rep.label").alias("a_label"))
         else:
             place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-            first = state.withColumn("place", place).where(F.col("place") <= reps).select("key", F.col("node").alias("a"), own)
+            first = state.withColumn("place", place).where(F.col("place") <= reps).select("key", F.col("node").alias("a"), F.col("label").alias("a_label"))
         first = written(first, "first")
-        facing = state.join(first, "key").where("node > a AND (label IS NULL OR label <> a_label)")
-        facing = written(facing.select("key", "a", "a_label", F.col("node").alias("b")), "facing")
-        pairs = facing.select("a", "b").distinct()
-        if not pairs.take(1):
-            break
+        pairs = state.join(first, "key").where("node > a AND label <> a_label").select("a", F.col("node").alias("b")).distinct()
         if done:
             pairs = pairs.join(reduce(DataFrame.union, done), ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
         alike = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
         agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
         alike = alike.where(agree >= LEAST_AGREE).select("a", "b")
         same = verified(alike, texts, idf, similarity).withColumn("same", F.lit(True))
-        compared = written(pairs.join(same, ["a", "b"], "left").select("a", "b", F.coalesce("same", F.lit(False)).alias("same")), "compared")
-        done.append(compared)
-        linked = reduce(DataFrame.union, done).where("same").select("a", "b")
-        news = facing.join(linked, ["a", "b"], "left_semi").groupBy("key", F.col("b").alias("node")).agg(F.min("a_label").alias("new"))
+        done.append(written(pairs.join(same, ["a", "b"], "left").select("a", "b", F.coalesce("same", F.lit(False)).alias("same")), "compared"))
+        # labels are components of all links so far: what one bucket has linked, no other compares again
+        roots = components(reduce(DataFrame.union, done).where("same").select("a", "b"))
         rest = state.join(first.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
-        rest = written(rest.join(news, ["key", "node"], "left").select("key", "node", F.coalesce("new", "label").alias("label")), "rest")
+        rest = written(rest.join(roots, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")), "rest")
         # a bucket is through when its members share one label
-        through = rest.groupBy("key").agg(F.max(F.col("label").isNull()).alias("bare"), F.min("label").alias("least"), F.max("label").alias("most"))
-        still = through.where("bare OR least <> most").select("key")
+        still = rest.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
         dropped(state)
         state = written(rest.join(still, "key", "left_semi"), "state")
-        for t in (first, facing, rest):
+        for t in (first, pairs, rest):
             dropped(t)
+        if not state.take(1):
+            break
         reps *= 4
         spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the last round's shuffle files
-    found = reduce(DataFrame.union, done).where("same").select("a", "b") if done else pairs.select("a", "b").limit(0)
-    return found
+    return reduce(DataFrame.union, done).where("same").select("a", "b")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
