@@ -150,7 +150,7 @@ def _(s, d):
     return c.crossJoin(F.broadcast(m)).select("c_custkey", F.round((F.col("c_acctbal") - F.col("m")) / F.col("sd"), 6).alias("scaled"))
 
 
-@_add("j17_similarity_join", "WITH w AS (SELECT page_id AS id, list_distinct(regexp_extract_all(url, '[a-z0-9]+')) AS items FROM pages WHERE page_id < 1000000) SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.items, b.items)) / len(list_distinct(list_concat(a.items, b.items))), 6) AS similarity FROM w a JOIN w b ON a.id < b.id WHERE len(list_intersect(a.items, b.items)) / len(list_distinct(list_concat(a.items, b.items))) >= 0.8")
+@_add("j17_similarity_join", "WITH w AS (SELECT page_id AS id, list_distinct(regexp_extract_all(url, '[a-z0-9]+')) AS items FROM pages) SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.items, b.items)) / len(list_distinct(list_concat(a.items, b.items))), 6) AS similarity FROM w a JOIN w b ON a.id < b.id WHERE len(list_intersect(a.items, b.items)) / len(list_distinct(list_concat(a.items, b.items))) >= 0.8")
 def _(s, d):
     w = _t(s, d, "pages").select(F.col("page_id").alias("id"), F.array_distinct(F.regexp_extract_all("url", F.lit("[a-z0-9]+"), F.lit(0))).alias("items"))
     return S.set_join(w, 0.8).select("a", "b", F.round("similarity", 6).alias("similarity"))

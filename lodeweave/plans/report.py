@@ -235,7 +235,7 @@ def _(s, d):
 def _(s, d):
     names = [f"{m}_{h}" for m in ("cv_metric", "test_metric") for h in ("ridge", "rf")]
     long = results(s, d).where("model IN ('ridge', 'rf')").unpivot(["dataset", "model"], ["cv_metric", "test_metric"], "metric", "value")
-    wide = long.groupBy("dataset").pivot("cell", names).agg(F.avg("value")) if "cell" in long.columns else long.withColumn("cell", F.concat_ws("_", "metric", "model")).groupBy("dataset").pivot("cell", names).agg(F.avg("value"))
+    wide = long.withColumn("cell", F.concat_ws("_", "metric", "model")).groupBy("dataset").pivot("cell", names).agg(F.avg("value"))
     return wide.select("dataset", *[_r(c) for c in names])
 
 
@@ -342,14 +342,14 @@ def _(s, d):
     return s.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last_type"), F.min_by("event_type", "event_id").alias("first_type"))
 
 
-@_add("o01_sorted_nulls_last", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal ASC NULLS LAST, c_custkey LIMIT 100")
+@_add("o01_sorted_nulls_last", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal ASC NULLS LAST, c_custkey")
 def _(s, d):
-    return s.read.parquet(f"{d}/customer.parquet").orderBy(F.col("c_acctbal").asc_nulls_last(), "c_custkey").select("c_custkey", "c_acctbal").limit(100)
+    return s.read.parquet(f"{d}/customer.parquet").orderBy(F.col("c_acctbal").asc_nulls_last(), "c_custkey").select("c_custkey", "c_acctbal")
 
 
-@_add("o02_mixed_sort", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 50")
+@_add("o02_mixed_sort", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey")
 def _(s, d):
-    return s.read.parquet(f"{d}/orders.parquet").orderBy("o_orderpriority", F.desc("o_totalprice"), "o_orderkey").select("o_orderkey", "o_orderpriority", "o_totalprice").limit(50)
+    return s.read.parquet(f"{d}/orders.parquet").orderBy("o_orderpriority", F.desc("o_totalprice"), "o_orderkey").select("o_orderkey", "o_orderpriority", "o_totalprice")
 
 
 @_add("o03_heterogeneous_sort", "SELECT v, row_number() OVER (ORDER BY TRY_CAST(v AS DOUBLE) IS NULL, TRY_CAST(v AS DOUBLE), v) AS place FROM (SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE p_type END AS v FROM part)")
