@@ -26,8 +26,9 @@ PROJECTIONS = 32
 WINDOW = 1.5
 #: Chances of losing a pair at the threshold in all tables, and in the count.
 LOSE_TABLES, LOSE_COUNT = 2e-3, 5e-4
-#: About so many vectors share a cell, and a cell with more than BLOCK is counted in pairs of blocks.
-CELL, BLOCK = 32, 1024
+#: So many vectors to twice as many share a cell on average, enough for the fixed cost of a projection not to outweigh
+#: theirs; a cell with more than BLOCK is counted in pairs of blocks.
+CELL, BLOCK = 64, 1024
 SEED = 31
 _SCALE = 120.0  # projections of unit vectors by Gaussian directions of length about 1 are held as int8 steps
 
@@ -39,7 +40,7 @@ def _directions(kind: int, n: int, dim: int) -> np.ndarray:
 def plan(n: int, similarity: float = SIMILARITY) -> tuple[int, int, int]:
     """Signs per cell, tables, and the count to reach, for n vectors."""
     agree = 1 - math.acos(similarity) / math.pi
-    signs = max(1, round(math.log2(max(2, n / CELL))))
+    signs = max(1, math.floor(math.log2(max(2, n / CELL))))
     tables = math.ceil(math.log(LOSE_TABLES) / math.log1p(-(agree**signs)))
     p = math.erf(WINDOW / math.sqrt(2))
     tail, count = 1.0, 0
