@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import functools
 import json
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -20,11 +21,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.llm._common import written
-
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: A chunk of documents holds about so many bytes of text.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 20 << 20
+#: White space and what follows up to the next: no word of the pattern goes from another character into white space, so
+#: words can be sought segment by segment, and each distinct segment once.
+_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+SEGMENT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: Primes and slots of the hash table.
 _P1, _P2, _P3, _SLOTS = 131_071, 32_749, 65_521, 131_072
 
@@ -84,11 +87,9 @@ def encoded_word(word: Column, path: str) -> Column:
     none = F.array().cast("array<int>")
 
     def rank(t: Column, a: Column, b: Column) -> Column:
-        def found(pair: Column) -> Column:
-            at = (pair % _P1 + F.get(t["moved"], (pair % _P2).cast("int")) * (pair % _P3 + 1)) % _SLOTS
-            return _let(F.get(t["slots"], at.cast("int")), lambda cell: F.when(F.shiftright(cell, 16) == pair, (cell % 65536).cast("int")))
-
-        return _let(a.cast("long") * 65536 + b, found)
+        pair = a.cast("long") * 65536 + b
+        at = (pair % _P1 + F.get(t["moved"], (pair % _P2).cast("int")) * (pair % _P3 + 1)) % _SLOTS
+        return _let(F.get(t["slots"], at.cast("int")), lambda cell: F.when(F.shiftright(cell, 16) == pair, (cell % 65536).cast("int")))
 
     def merged(t: Column) -> Callable[[Column, Column], Column]:
         def step(state: Column, _: Column) -> Column:
@@ -130,7 +131,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str = public
     """Per document: doc_id, n_bytes, ids array<int>, as the library would encode the text without special tokens.
 
     Null and empty texts have no ids. Every row gives a row, repeated ones too; a null doc_id stays null. Other columns
-    are ignored. No rows give none. The ranks' file needs all 256 bytes and ranks below 65536.
+    are ignored. No rows give none. The ranks' file needs all 256 bytes and ranks below 65536; no match of the pattern may go
+    from another character into white space.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -143,8 +145,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str = public
         seen: dict[int, set] = {}
 
         def rows():
-            for c, words in seen.items():
-                some = sorted(words)
+            for c, segments in seen.items():
+                some = sorted({w for x in segments for w in find(x)})
                 for at in range(0, len(some), 50_000):
                     part = pa.array(some[at : at + 50_000], pa.string())
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), c, np.int32)), part], ["chunk", "word"])
@@ -153,17 +155,18 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str = public
         for batch in batches:
             chunks = batch.column(0).to_pylist()
             for at in range(0, batch.num_rows, 256):
-                for c, text in zip(chunks[at : at + 256], batch.column(1).slice(at, 256).to_pylist(), strict=True):
-                    seen.setdefault(c, set()).update(find(text))
-                if sum(map(len, seen.values())) > 300_000:
+                for c, text in zip(chunks[at : at + 256], batch.column(2).slice(at, 256).to_pylist(), strict=True):
+                    seen.setdefault(c, set()).update(SEGMENT.findall(text))
+                if sum(map(len, seen.values())) > 400_000:
                     yield from rows()
         yield from rows()
 
-    words = dealt.select("chunk", "text").mapInArrow(distinct, "chunk int, word string")
+    # all columns of `dealt`, so that both its readers share one exchange
+    words = dealt.mapInArrow(distinct, "chunk int, word string")
     # one row a word, with the chunks that hold it
     known = words.groupBy("word").agg(F.collect_set("chunk").alias("chunks"))
     known = known.select("chunks", "word", encoded_word(F.col("word"), path).alias("ids"))
-    lookup = written(known, "words").select(F.explode("chunks").alias("chunk"), "word", "ids")
+    lookup = known.select(F.explode("chunks").alias("chunk"), "word", "ids")
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = right.column("ids").combine_chunks()
@@ -171,11 +174,16 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str = public
         ends = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]) * 4
         of = {w: flat[a:b] for w, a, b in zip(right.column("word").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
         find, get = regex.compile(pattern).findall, of.__getitem__
+        of_segment: dict[str, bytes] = {}
         parts, sizes, n_bytes = [], [], []
         texts = left.column("text")
         for at in range(0, left.num_rows, 256):
             for text in texts.slice(at, 256).to_pylist():
-                parts.append(b"".join(map(get, find(text))))
+                segments = SEGMENT.findall(text)
+                for x in segments:
+                    if x not in of_segment:
+                        of_segment[x] = b"".join(map(get, find(x)))
+                parts.append(b"".join(map(of_segment.__getitem__, segments)))
                 sizes.append(len(parts[-1]) // 4)
                 n_bytes.append(len(text.encode()))
         offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
@@ -199,7 +207,7 @@ def decoded(ids: Column, vocabulary: str | None = None) -> Column:
     )
 
     def piece(t: Column, i: Column) -> Column:
-        return _let(F.get(t["at"], i), lambda a: t["held"].substr(a + 1, F.get(t["at"], i + 1) - a))
+        return t["held"].substr(F.get(t["at"], i) + 1, F.get(t["at"], i + 1) - F.get(t["at"], i))
 
     # a binary piece goes through a string type as it is: no character is decoded
     return _let(table, lambda t: F.array_join(F.transform(ids, lambda i: piece(t, i).cast("string")), "").cast("binary"))
