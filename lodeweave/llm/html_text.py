@@ -1,7 +1,8 @@
 """Main text of web pages by consensus host paths.
 
 Each page's containers are scored and its best one votes with its generalised path (tags and classes, digits dropped).
-Spark counts the votes of each host; a page is then extracted again by the first of its host's winning paths that it has.
+Spark counts the votes of each host; a page is then extracted again by its own path if that won, else by the first of its
+host's winning paths that it has.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from lodeweave.llm._common import written
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "select", "object", "canvas", "title"}
 CONTAINERS = {"html", "head", "body", "main", "article", "section", "div", "aside", "nav", "header", "footer", "form", "table", "ul", "ol", "dl", "fieldset", "figure", "details", "dialog", "menu", "button"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd", "label", "mark", "q", "ruby", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+PARTS = {"ul", "ol", "dl", "menu", "table", "figure"}
 NEVER = {"head", "nav", "footer", "aside", "form", "menu", "button", "dialog", "fieldset"}
 NOISE_WORDS = {"ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "consent", "disclaimer", "disqus", "footer", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "related", "replies", "reply", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu"}
@@ -121,29 +123,40 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
     return out
 
 
-def best_container(found: list[tuple[str, str, int]], share: float = 0.8) -> tuple[str, float] | None:
-    """The deepest path that holds `share` of the page's worth; a block's worth is its text outside links and its sentences."""
-    worth: dict[str, float] = defaultdict(float)
-    total = 0.0
+def _worth(text: str, linked: int) -> int:
+    """A block's worth: its text outside links and its sentences; none for lists of links."""
+    return max(0, len(text) - 2 * linked) + 20 * len(re.findall(r"[.!?](?:\s|$)", text)) * (linked == 0)
+
+
+def best_container(found: list[tuple[str, str, int]]) -> tuple[str, int] | None:
+    """The deepest path that holds all of the page's worth, and the worth. Lists, tables and figures are parts of an article
+    and never it: the container around them is taken, and the article around what is in one."""
+    worth: dict[str, int] = defaultdict(int)
+    total = 0
     for path, text, linked in found:
-        x = max(0.0, len(text) - 2 * linked) + 20 * len(re.findall(r"[.!?](?:\s|$)", text)) * (linked == 0)
+        x = _worth(text, linked)
         total += x
         parts = path.split("/")
         for k in range(1, len(parts) + 1):
             worth["/".join(parts[:k])] += x
-    fit = [(p.count("/"), x, p) for p, x in worth.items() if x >= share * total and x > 0]
-    if not fit:
+    if not total:
         return None
-    _, x, p = max(fit)
-    return p, x
+    parts = max((p for p, x in worth.items() if x == total), key=lambda p: p.count("/")).split("/")
+    tags = [p.split(".")[0] for p in parts]
+    end = next((k for k, t in enumerate(tags) if t in PARTS), len(tags))
+    end = next((k + 1 for k in range(end - 1, -1, -1) if tags[k] == "article"), end)
+    return "/".join(parts[:end]), total
 
 
 def text_under(found: list[tuple[str, str, int]], paths: list[str]) -> str:
-    """The page's blocks under the first of the paths that it has, else under its own best container."""
-    for path in [*paths, *[b[0] for b in [best_container(found)] if b]]:
-        some = [text for p, text, _ in found if p == path or p.startswith(path + "/")]
-        if some:
-            return " ".join(some)
+    """The page's blocks under its own best container if that is one of the paths, else under the first of the paths that
+    has worth on the page, else under its own."""
+    best = best_container(found)
+    own = [best[0]] if best else []
+    for path in [*[p for p in own if p in paths], *paths, *own]:
+        some = [(text, linked) for p, text, linked in found if p == path or p.startswith(path + "/")]
+        if some and (not best or any(_worth(*x) for x in some)):
+            return " ".join(text for text, _ in some)
     return ""
 
 
@@ -157,7 +170,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
                 if best := best_container(blocks(html)):
                     hosts.append(host)
                     paths.append(best[0])
-                    scores.append(int(best[1]))
+                    scores.append(best[1])
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(scores, pa.int64())], ["host", "path", "score"])
 
     votes = with_host(pages).select("host", "html").mapInArrow(vote, "host string, path string, score long")

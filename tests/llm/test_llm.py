@@ -264,6 +264,33 @@ def test_main_text_by_consensus(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def texts_of(spark, bodies, host="http://w.org/"):
+    rows = [(i, f"{host}{i}", page(b)) for i, b in enumerate(bodies)]
+    return [r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_main_text_is_the_whole_article(spark):
+    items = "".join(f"<li>Item {i} of a long list. It says much.</li>" for i in range(20))
+    listed = " ".join(f"Item {i} of a long list. It says much." for i in range(20))
+    for tag in ("ul", "ol"):
+        assert texts_of(spark, [f"<article><h1>Head</h1><p>Intro.</p><{tag}>{items}</{tag}><p>End.</p></article>"] * 3) == [f"Head Intro. {listed} End."] * 3
+    for tag in ("dl", "table", "figure"):
+        assert texts_of(spark, [f"<article><h1>Head</h1><{tag}>Long words of it. {'More of them. ' * 30}</{tag}></article>"])[0].startswith("Head Long words")
+    # all the worth is in a list: still the article, with its linked headline
+    assert texts_of(spark, [f"<article><h1><a href=/x>Head</a></h1><ul>{items}</ul></article>"]) == [f"Head {listed}"]
+    long = "A sentence of the body. " * 20
+    assert texts_of(spark, [f"<article><h1>Head</h1><p>Lead.</p><div class=body>{long}</div></article>"]) == [f"Head Lead. {long.strip()}"]
+    assert texts_of(spark, [f"<main><div class=body>{long}</div><div class=rest>Its end.</div></main>"]) == [f"{long.strip()} Its end."]
+
+
+def test_layouts_of_one_host_keep_their_own_paths(spark):
+    short, long = "<div class=teaser>Short.</div>", "<div class=story>Long text of it. With sentences. And more.</div>"
+    got = texts_of(spark, [short] * 6 + [short + long] * 2)
+    assert got == ["Short."] * 6 + ["Short. Long text of it. With sentences. And more."] * 2
+    # a winning path without worth on the page
+    assert texts_of(spark, [short] * 6 + [f"<div class=teaser><a href=/>More here</a></div>{long}"])[6] == "Long text of it. With sentences. And more."
+
+
 # ---- op9
 
 
