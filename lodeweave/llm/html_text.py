@@ -22,49 +22,71 @@ from lodeweave.llm._common import written
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "select", "object", "canvas", "title"}
 CONTAINERS = {"html", "head", "body", "main", "article", "section", "div", "aside", "nav", "header", "footer", "form", "table", "ul", "ol", "dl", "fieldset", "figure", "details", "dialog", "menu", "button"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd", "label", "mark", "q", "ruby", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+WHOLE = {"html", "body", "main", "article"}
 PARTS = {"ul", "ol", "dl", "menu", "table", "figure"}
 NEVER = {"head", "nav", "footer", "aside", "form", "menu", "button", "dialog", "fieldset"}
 NOISE_WORDS = {"ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "consent", "disclaimer", "disqus", "footer", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "related", "replies", "reply", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu"}
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: How sure a container is no part of the article: by the name of its class or id, by its tag or role, by being hidden.
+NAMED, FIRM, HIDDEN = 1, 2, 3
 #: A path wins if it has this share of its host's votes: so at most five paths win, whatever the number of pages.
 WIN_SHARE = 0.2
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """A container's generalised name, and whether its name or attributes mark it as no part of an article."""
-    noise = tag in NEVER
+def _named(value: str) -> bool:
+    """Whether a class or id, whole or by its leading word, is a noise word."""
+    return any(t.lower() in NOISE_WORDS or ((m := NAME_PART.match(t)) and m[0].lower() in NOISE_WORDS) for t in value.split())
+
+
+def _label(tag: str, attributes: str) -> tuple[str, int]:
+    """A container's generalised name, and how its name or attributes mark it as no part of an article (0: not)."""
+    noise = FIRM if tag in NEVER else 0
     if not attributes or attributes.isspace():
         return tag, noise
     classes: list[str] = []
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            noise = noise or any(w.lower() in NOISE_WORDS for w in NAME_PART.findall(value))
+            if tag not in WHOLE and _named(value):
+                noise = max(noise, NAMED)
             if name == "class":
                 classes += [re.sub(r"[^A-Za-z_-]", "", c) for c in value.split()]
         elif name == "role":
-            noise = noise or value.lower() in NOISE_ROLES
-        elif name == "hidden":
-            noise = True
-        elif name == "aria-hidden":
-            noise = noise or value.lower() == "true"
-        else:
-            noise = noise or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+            if tag not in WHOLE and value.lower() in NOISE_ROLES:
+                noise = max(noise, FIRM)
+        elif tag in ("html", "body"):
+            continue
+        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
+            noise = HIDDEN
+        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            noise = HIDDEN
     return ".".join([tag, *sorted({c for c in classes if c})]), noise
 
 
 def blocks(html: str | None) -> list[tuple[str, str, int]]:
-    """The blocks of a page in order: (path of containers, text, characters inside links), without those in noise."""
+    """The blocks of a page in order: (path of containers, text, characters inside links), without those in noise.
+
+    Where nothing outside noise has worth, those in the least sure noise that has some come too.
+    """
+    found = _all_blocks(html)
+    for most in (0, NAMED, FIRM, HIDDEN):
+        if any(noise <= most and _worth(text, linked) for _, text, linked, noise in found):
+            return [(path, text, linked) for path, text, linked, noise in found if noise <= most]
+    return [(path, text, linked) for path, text, linked, noise in found if not noise]
+
+
+def _all_blocks(html: str | None) -> list[tuple[str, str, int, int]]:
+    """All blocks of a page, with their noise."""
     if not html:
         return []
-    stack: list[tuple[str, str, bool]] = []  # tag, path, noise
-    path, noise = "", False
-    out: list[tuple[str, str, int]] = []
+    stack: list[tuple[str, str, int]] = []  # tag, path, noise
+    path, noise = "", 0
+    out: list[tuple[str, str, int, int]] = []
     words: list[str] = []
     in_link, linked = False, 0
     at = 0
@@ -73,8 +95,8 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
         nonlocal linked
         if words:
             text = " ".join(unescape("".join(words)).split())
-            if text and not noise:
-                out.append((path, text, linked))
+            if text:
+                out.append((path, text, linked, noise))
             words.clear()
         linked = 0
 
@@ -100,7 +122,7 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
                 if any(x[0] == tag for x in stack):
                     while stack.pop()[0] != tag:
                         pass
-                    path, noise = stack[-1][1:] if stack else ("", False)
+                    path, noise = stack[-1][1:] if stack else ("", 0)
             continue
         if tag in INLINE:
             in_link = in_link or tag == "a"
@@ -116,8 +138,10 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
             name, own = _label(tag, found[3])
             # an article's own header holds its headline
             if tag == "header" and not any(x[0] in ("article", "main") for x in stack):
-                own = True
-            path, noise = f"{path}/{name}", noise or own
+                own = max(own, FIRM)
+            # whatever the containers around it are called, main is no noise
+            noise = 0 if tag == "main" and noise == NAMED else noise
+            path, noise = f"{path}/{name}", max(noise, own)
             stack.append((tag, path, noise))
     flush()
     return out

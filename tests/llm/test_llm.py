@@ -283,6 +283,17 @@ def test_main_text_is_the_whole_article(spark):
     assert texts_of(spark, [f"<main><div class=body>{long}</div><div class=rest>Its end.</div></main>"]) == [f"{long.strip()} Its end."]
 
 
+def test_noise_is_told_by_whole_names(spark):
+    text = "<h1>Head</h1><p>Words of it. And more.</p>"
+    want = "Head Words of it. And more."
+    bodies = [f"<main class='content with-sidebar'>{text}</main>", f"<article class='entry share-enabled'>{text}</article>", f"<article id=share-1>{text}</article>", f"<article><div class=article-header><h1>Head</h1></div><p>Words of it. And more.</p></article>", f"<div class=nav-open><main>{text}</main></div>", f"<div data-hidden='false'>{text}</div>", f"<div data-title='A hidden valley'>{text}</div>", f"<div data-id=nav data-style='display:none'>{text}</div>", f"<div title='class=ad'>{text}</div>"]
+    assert [texts_of(spark, [b], f"http://n{i}.org/")[0] for i, b in enumerate(bodies)] == [want] * len(bodies)
+    wrapped = [f"<html><body class='no-sidebar nav' style='visibility:hidden'><div>{text}</div></body></html>", f"<body><form>{text}</form></body>", f"<div class=sidebar>{text}</div>", f"<div class=banner-1>{text}</div><div hidden>Not this. No.</div>"]
+    assert [" ".join(t for _, t, _ in html_text.blocks(h)) for h in wrapped] == [want] * len(wrapped)
+    noise = "".join(f"<div {a}>Noise of it. Much.</div>" for a in ("class=ad", "class='x ad-slot'", "id=commentsList", "class='SideBar sidebar_left'", "role=banner", "hidden", "style='display: none'", "aria-hidden=true"))
+    assert [t for _, t, _ in html_text.blocks(f"{noise}<div>{text}</div>")] == ["Head", "Words of it. And more."]
+
+
 def test_layouts_of_one_host_keep_their_own_paths(spark):
     short, long = "<div class=teaser>Short.</div>", "<div class=story>Long text of it. With sentences. And more.</div>"
     got = texts_of(spark, [short] * 6 + [short + long] * 2)
