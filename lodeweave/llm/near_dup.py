@@ -16,7 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,6 +157,15 @@ class Sampler:
         return _mix(h[best_at] + _mix(best_t.astype(np.int64).astype(np.uint64)))
 
 
+def _digest() -> Column:
+    return F.sha2(F.col("text").cast("binary"), 256)
+
+
+def _key(doc_id: str | Column, exact: str | Column) -> Column:
+    """One column for an id, which may be null, and a digest: joins and groups by it need one exchange."""
+    return F.concat_ws("|", exact, F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string"))
+
+
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     """Rows (doc_id, exact, keys array<long>, sig array<int>): the text's digest, its band keys and its samples; empty arrays without words."""
     spark = docs.sparkSession
@@ -183,7 +192,7 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                     sigs.append((s >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int32()))], ["doc_id", "exact", "keys", "sig"])
 
-    sent = docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("exact"), "text")
+    sent = docs.select("doc_id", _digest().alias("exact"), "text")
     return sent.mapInArrow(run, sent.select("doc_id", "exact").schema.add("keys", T.ArrayType(T.LongType())).add("sig", T.ArrayType(T.IntegerType())))
 
 
@@ -212,19 +221,20 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: fl
 
 
 def links(docs: DataFrame, exact: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between documents of different texts that connect every two near-duplicates a bucket holds.
+    """Links (a, b) between the nodes of different texts that connect every two near-duplicates a bucket holds.
 
-    exact: (node, keys, sig), one row per distinct text.
+    exact: (node, doc_id, exact, keys, sig), one row per distinct text, with its smallest id (null if none) and digest.
     """
     spark = docs.sparkSession
     members = written(exact.select("node", F.explode("keys").alias("key")).distinct(), "members")
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     state = written(members.join(shared, "key"), "shared")
     touched = state.select("node").distinct()
-    # one row per id, also if rows repeat it
-    texts = docs.join(touched, docs["doc_id"] == touched["node"], "left_semi").select(F.col("doc_id").alias("node"), "text")
-    texts = written(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
-    sigs = written(exact.join(touched, "node", "left_semi").select("node", "sig").dropDuplicates(["node"]), "sigs")
+    # a text is read from the rows of its smallest id, so copies are not gathered
+    of_node = exact.join(touched, "node", "left_semi").select("node", _key("doc_id", "exact").alias("key"))
+    texts = docs.select(_key("doc_id", _digest()).alias("key"), "text").join(of_node, "key")
+    texts = written(texts.groupBy("key", "node").agg(F.min("text").alias("text")).select("node", "text"), "texts")
+    sigs = written(exact.join(touched, "node", "left_semi").select("node", "sig"), "sigs")
     state = written(state.withColumn("label", F.col("node")), "state")
     done: list[DataFrame] = []  # compared pairs: (a, b, same)
     reps = 1  # of each bucket and round; four times as many each round, so rounds grow with the logarithm of its size
@@ -261,33 +271,42 @@ def links(docs: DataFrame, exact: DataFrame, idf: np.ndarray, similarity: float
     return reduce(DataFrame.union, done).where("same").select("a", "b")
 
 
+def _classed(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (row, doc_id, exact), texts (exact, component) and components (component, first) with
+    first = (no_id, doc_id, exact, row), the first row by doc_id, nulls last, and digest. Nodes are numbers of the distinct texts, so ids may be null or repeated.
+    """
+    docs = docs.select("doc_id", "text")
+    idf = idf_table(docs)
+    # no text: a digest of its own
+    own = F.coalesce("exact", F.concat(F.lit("none:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), "row"))))
+    signed = written(signatures(docs, idf).withColumn("row", F.monotonically_increasing_id()).withColumn("exact", own), "signatures")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "exact", "row")).alias("first")
+    texts = signed.groupBy("exact").agg(least, F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    texts = written(texts.select("exact", "first", "first.doc_id", "keys", "sig", F.monotonically_increasing_id().alias("node")), "exact")
+    roots = components(links(docs, texts, idf, similarity))
+    of_text = texts.select("exact", "first", "node").join(roots, "node", "left")
+    of_text = written(of_text.select("exact", "first", F.coalesce("component", "node").alias("component")), "classes")
+    return signed.select("row", "doc_id", "exact"), of_text.select("exact", "component"), of_text.groupBy("component").agg(F.min("first").alias("first"))
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Per document: doc_id, class_id (the smallest id of its class), kept (doc_id = class_id).
+    """Per document: doc_id, class_id (the smallest id of its class), kept (one row of each class: of the smallest id, then digest).
 
     Documents with equal texts are in one class, as are those that a chain of near-duplicate pairs connects. A text
-    without words is alike only to its equals; a null text to none, and its document is alone. Rows that repeat an id
-    are one document: they share a class. Rows with a null id have the class of their text, null if no copy has an id.
+    without words is alike only to its equals; a null text to none but one of its own id, and its document is alone.
+    Every row counts by its text: rows that repeat an id with different texts are different documents, and rows with a
+    null id link, have the class of their text, null if no row of it has an id, and are kept where no other row is.
     No rows give none; other columns are ignored.
     """
-    docs = docs.select("doc_id", "text")
-    idf = idf_table(docs)
-    signed = written(signatures(docs, idf), "signatures")
-    # no text: a digest of its own
-    own = F.coalesce("exact", F.concat(F.lit("none:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    signed = signed.withColumn("exact", own)
-    exact = written(signed.groupBy("exact").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "exact")
-    nodes = exact.where("node IS NOT NULL")
-    near = links(docs, nodes, idf, similarity)
-    # an id that several texts share links them
-    of_row = signed.select("doc_id", "exact").join(exact.select("exact", "node"), "exact")
-    repeats = of_row.where("doc_id <> node").join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    roots = written(components(near.union(repeats)), "roots")
-    out = of_row.join(roots.withColumnRenamed("node", "root_of"), F.col("node") == F.col("root_of"), "left")
-    class_id = F.coalesce("component", "node")
-    return out.select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, F.lit(False)).alias("kept"))
+    rows, texts, firsts = _classed(docs, similarity)
+    facts = texts.join(firsts, "component").select("exact", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("kept_row"))
+    return rows.join(facts, "exact").select("doc_id", "class_id", (F.col("row") == F.col("kept_row")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents that classes() keeps, with their own columns; of rows that repeat an id, one."""
-    kept = classes(docs, similarity).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    """The documents that classes() keeps, with their own columns; of rows that repeat an id and text, one."""
+    kept = _classed(docs, similarity)[2].select(_key(F.col("first.doc_id"), F.col("first.exact")).alias("__key"))
+    own = docs.withColumn("__key", _key("doc_id", F.coalesce(_digest(), F.concat(F.lit("none:"), F.col("doc_id").cast("string")))))
+    some = own.join(kept, "__key", "left_semi").dropDuplicates(["__key"])
+    # neither id nor text: alone
+    return some.drop("__key").select(docs.columns).union(docs.where("doc_id IS NULL AND text IS NULL"))

@@ -195,6 +195,30 @@ def test_near_duplicate_classes_equal_brute_force(spark):
     assert near_dup.classes(docs.limit(0)).count() == 0
 
 
+def test_null_and_repeated_ids_lose_no_text(spark):
+    rng = random.Random(3)
+    text = lambda: ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(150)]
+    a, c, d, e, f, g, h = (text() for _ in range(7))
+    # near b and c, but a and c are further apart
+    b, c = [*c[:6], *a[6:]], [*c[:6], *a[6:-13], *c[6:19]]
+    e_near, g_near = [*e[:-1], "new"], [*g[:-1], "new"]
+    rows = [(1, a), (None, b), (2, c), (None, d), (None, e), (None, e_near), (7, f), (7, g), (8, g_near), (7, h), (7, h), (None, d)]
+    rows = [(i, " ".join(t)) for i, t in rows] + [(None, None), (None, None), (9, None), (9, "one"), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("more", F.lit(1)).repartition(3)
+    idf = near_dup.idf_table(docs.select("text"))
+    sim = lambda x, y: near_dup.jaccard(near_dup.weighted(" ".join(x), idf), near_dup.weighted(" ".join(y), idf))
+    assert sim(a, b) >= 0.8 and sim(b, c) >= 0.8 and sim(a, c) < 0.8
+    got = near_dup.classes(docs).collect()
+    assert Counter((r.doc_id, r.class_id) for r in got) == Counter([(1, 1), (None, 1), (2, 1), (None, None), (None, None), (None, None), (None, None), (7, 7), (7, 7), (8, 7), (7, 7), (7, 7), (None, None), (None, None), (9, 9), (9, 9), (None, None)])
+    # a b c; d d; e, its near; f; g, its near; h h; three without text; "one"; ""
+    assert sum(r.kept for r in got) == 6 + 3 + 2
+    kept = near_dup.one_of_each(docs)
+    assert kept.columns == docs.columns
+    out = Counter((r.doc_id, r.text) for r in kept.collect())
+    first_e = min((" ".join(x) for x in (e, e_near)), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert out == Counter([(1, " ".join(a)), (None, " ".join(d)), (None, first_e), (7, " ".join(f)), (7, " ".join(g)), (7, " ".join(h)), (None, None), (None, None), (9, None), (9, "one"), (None, "")])
+
+
 def test_shingles_are_runs_of_five_words():
     assert len(near_dup.shingles(" a b\tc d\ne f ")) == 2 and len(near_dup.shingles("a b")) == 1 and len(near_dup.shingles(" ")) == 0
     assert (near_dup.shingles("a b c d e") == near_dup.shingles("  a  b c d\n\ne ")).all()
