@@ -1,22 +1,27 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
 A document's shingles are its runs of five words (all words if fewer), weighted by their count in it times their idf. idf
-is 1 + IDF_SHARE * ln(N / df) / ln(N), with df read from a hashed table over all documents, so its size is bounded. Each of
-the hash functions keeps one (shingle, level) of a document as Ioffe's consistent weighted sampling (2010) prescribes: two
-documents agree in it with the probability of their weighted Jaccard similarity. The random numbers of a shingle come from
-pools that its hash indexes. Bands of agreeing samples make buckets; in a bucket a representative is compared with the
-others, then the next with those that are not yet linked with it, and so on until every two members have been compared or
-are linked: no pair is lost to a cap, and a bucket of copies needs one round.
+is 1 + IDF_SHARE * ln(N / df) / ln(1 / RARE), where df is the exact number of documents with the shingle, taken as RARE * N
+where it is less: the weighting is the same at every size, and only shingles in RARE of all documents have to be known by
+name. Each of the hash functions keeps one (shingle, level) of a document as Ioffe's consistent weighted sampling (2010)
+prescribes: two documents agree in it with the probability of their weighted Jaccard similarity. The random numbers of a
+shingle come from pools that its hash indexes. Bands of agreeing samples make buckets.
+
+Buckets are resolved in two steps. First every member is compared with its bucket's first member, which is linear and puts
+copies of one text into one class. Then each bucket that still holds several classes (one of those with the same members)
+is compared whole: an inverted index of its shingles gives the exact similarities of a text to all others at once, and only
+links between classes leave it. Buckets above BLOCK members or BLOCK_BYTES are compared in pairs of blocks, so no task
+holds more than two blocks, no pair is lost to a cap, and no pair that is not a link is ever a row.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +31,12 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 4
 #: Signatures of two documents have to agree in so many places before texts are compared: at similarity 0.8 fewer have a chance of 1e-7.
 LEAST_AGREE = 28
-IDF_BUCKETS, IDF_BLOCK, IDF_SHARE = 1 << 20, 1 << 12, 0.25
+#: Shingles in less than RARE of the documents have the idf of RARE. Weights are multiples of 1 / GRAIN, so sums are exact.
+RARE, IDF_SHARE, GRAIN = 1e-3, 0.25, 1024.0
+#: Counters that tell which shingles may be in RARE of the documents, and how many are sent in a row.
+IDF_BUCKETS, IDF_BLOCK = 1 << 20, 1 << 12
+#: A bucket with more members or bytes of text is compared in pairs of blocks.
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 POOL = 1 << 16
 SEED = 23
 
@@ -69,25 +79,40 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(20)).astype(np.int64) % IDF_BUCKETS
 
 
-def idf_table(texts: DataFrame) -> np.ndarray:
-    """idf of each bucket, from all rows of `texts` (column text): in how many texts a bucket's shingles occur.
+class Idf:
+    """idf of shingles: of those in `hashes` (sorted) as in `values`, of all others the largest there is."""
 
-    A task sums its texts' counts and sends them in blocks; the sums of a block are run up as they come, so memory is
-    bounded by the table, as is what reaches the driver.
+    def __init__(self, hashes: np.ndarray, values: np.ndarray, rest: float):
+        self.hashes, self.values, self.rest = np.append(hashes, np.uint64(2**64 - 1)), np.append(values, rest), rest
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.hashes, h)
+        return np.where(self.hashes[at] == h, self.values[at], self.rest)
+
+
+def _distinct_by_text(texts: pa.Array) -> Iterator[np.ndarray]:
+    for at in range(0, len(texts), 256):
+        for text in texts.slice(at, 256).to_pylist():
+            yield np.unique(shingles(text))
+
+
+def idf_table(texts: DataFrame) -> Idf:
+    """idf from all rows of `texts` (column text).
+
+    Two passes: hashed counters, summed over all documents, tell which shingles may be in RARE of them; only those are
+    counted by name. At most 1 / RARE times the mean number of shingles of a document reach that share, so the table that
+    the driver collects and broadcasts does not grow with the number of documents.
     """
+    spark = texts.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(IDF_BUCKETS, np.int32)
         n = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                for text in batch.column(0).slice(at, 256).to_pylist():
-                    n += 1
-                    held[np.unique(_bucket(shingles(text)))] += 1
-        yield from _blocks(held.reshape(-1, IDF_BLOCK), n)
-
-    def _blocks(held: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
-        for k, block in enumerate(held):
+            for h in _distinct_by_text(batch.column(0)):
+                n += 1
+                held[np.unique(_bucket(h))] += 1
+        for k, block in enumerate(held.reshape(-1, IDF_BLOCK)):
             if k == 0 or block.any():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n if k == 0 else 0], pa.int64()), pa.array([block.astype(np.int64)], pa.list_(pa.int64()))], ["block", "n", "counts"])
 
@@ -102,19 +127,49 @@ def idf_table(texts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n], pa.int64()), pa.array([counts], pa.list_(pa.int64()))], ["block", "n", "counts"])
 
     schema = "block int, n long, counts array<long>"
-    table, total = np.zeros((IDF_BUCKETS // IDF_BLOCK, IDF_BLOCK)), 0
+    table, total = np.zeros((IDF_BUCKETS // IDF_BLOCK, IDF_BLOCK), np.int64), 0
     summed = texts.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema)
     for row in summed.toLocalIterator():
         table[row["block"]] = row["counts"]
         total += row["n"]
     total = max(total, 2)
-    return (1 + IDF_SHARE * np.log(total / np.clip(table.ravel(), 1, total)) / np.log(total)).astype(np.float32)
+    least = max(1, total * RARE)
+    full = spark.sparkContext.broadcast(np.packbits(table.ravel() >= least))
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(full.value).astype(bool)
+        held: list[np.ndarray] = []
+        size = 0
 
+        def rows() -> Iterator[pa.RecordBatch]:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            for at in range(0, len(h), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(h[at : at + 100_000].view(np.int64)), pa.array(n[at : at + 100_000])], ["shingle", "df"])
+            held.clear()
 
-def weighted(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        for batch in batches:
+            for h in _distinct_by_text(batch.column(0)):
+                held.append(h[wanted[_bucket(h)]])
+                size += len(held[-1])
+                if size > 2_000_000:
+                    yield from rows()
+                    size = 0
+        if held:
+            yield from rows()
+
+    known = texts.select("text").mapInArrow(name, "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df")).where(F.col("df") >= least).toArrow()
+    full.unpersist()
+    h = known.column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    df = known.column("df").to_numpy().astype(np.float64)[order]
+    idf = lambda df: np.round((1 + IDF_SHARE * np.minimum(np.log(total / df) / math.log(1 / RARE), 1)) * GRAIN) / GRAIN
+    return Idf(h[order], idf(df), float(idf(least)))
+
+
+def weighted(text: str | None, idf: Idf) -> tuple[np.ndarray, np.ndarray]:
     """A text's distinct shingles, sorted, and their weights: count times idf."""
     h, n = np.unique(shingles(text), return_counts=True)
-    return h, n * idf[_bucket(h)]
+    return h, n * idf(h)
 
 
 def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -136,24 +191,33 @@ class Sampler:
         self.beta = rng.random(POOL).astype(np.float32)
         self.odd = (rng.integers(1, 1 << 62, (n, 1)).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 
-    def samples(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """One 64-bit value for each hash function; equal if shingle and level are."""
-        log_w = np.log(w).astype(np.float32)
-        best = best_at = best_t = None
-        for at in range(0, len(h), 2048):
-            some = h[at : at + 2048]
-            i = ((some[None, :] * self.odd) >> np.uint64(48)).astype(np.int32)
-            r, beta = self.r[i], self.beta[i]
-            t = np.floor(log_w[None, at : at + 2048] * self.inverse[i] + beta)
-            log_a = self.log_c[i] - r * (t - beta + 1)
-            k = log_a.argmin(1)
-            rows = np.arange(len(k))
-            low, level = log_a[rows, k], t[rows, k]
-            if best is None:
-                best, best_at, best_t = low, k + at, level
-            else:
+        self.usual: tuple[float, np.ndarray, np.ndarray] | None = None
+
+    def _level(self, log_w: np.ndarray, i: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+        r, beta = self.r[i], self.beta[i]
+        t = np.floor(log_w * self.inverse[i] + beta)
+        return self.log_c[i] - r * (t - beta + 1), t
+
+    def samples(self, h: np.ndarray, w: np.ndarray, usual: float = 0.0) -> np.ndarray:
+        """One 64-bit value for each hash function; equal if shingle and level are. Weights `usual` are read from a table."""
+        if self.usual is None or self.usual[0] != usual:
+            self.usual = (usual, *self._level(np.log(np.float32(usual or 1)), slice(None)))
+        _, usual_a, usual_t = self.usual
+        most = w == usual
+        best = np.full(len(self.odd), np.inf, np.float32)
+        best_at, best_t = np.zeros(len(best), np.int64), np.zeros(len(best), np.float32)
+        rows = np.arange(len(best))
+        for own in (True, False):
+            places = np.flatnonzero(most == own)
+            for at in range(0, len(places), 2048):
+                some = places[at : at + 2048]
+                i = ((h[None, some] * self.odd) >> np.uint64(48)).astype(np.int32)
+                log_a, t = (usual_a[i], None) if own else self._level(np.log(w[some]).astype(np.float32), i)
+                k = log_a.argmin(1)
+                low = log_a[rows, k]
+                level = usual_t[i[rows, k]] if own else t[rows, k]
                 less = low < best
-                best, best_at, best_t = np.where(less, low, best), np.where(less, k + at, best_at), np.where(less, level, best_t)
+                best, best_at, best_t = np.where(less, low, best), np.where(less, some[k], best_at), np.where(less, level, best_t)
         return _mix(h[best_at] + _mix(best_t.astype(np.int64).astype(np.uint64)))
 
 
@@ -166,10 +230,10 @@ def _key(doc_id: str | Column, exact: str | Column) -> Column:
     return F.concat_ws("|", exact, F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string"))
 
 
-def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
+def signatures(docs: DataFrame, idf: Idf) -> DataFrame:
     """Rows (doc_id, exact, keys array<long>, sig array<int>): the text's digest, its band keys and its samples; empty arrays without words."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(idf)  # IDF_BUCKETS floats
+    shared = spark.sparkContext.broadcast(idf)  # bounded: see idf_table
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, table = Sampler(), shared.value
@@ -184,7 +248,7 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                         keys.append(np.zeros(0, np.int64))
                         sigs.append(np.zeros(0, np.int32))
                         continue
-                    s = sampler.samples(h, w)
+                    s = sampler.samples(h, w, table.rest)
                     band = salt.copy()
                     for k in range(ROWS):
                         band = band * _P + s.reshape(BANDS, ROWS)[:, k]
@@ -196,7 +260,7 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return sent.mapInArrow(run, sent.select("doc_id", "exact").schema.add("keys", T.ArrayType(T.LongType())).add("sig", T.ArrayType(T.IntegerType())))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, idf: Idf, similarity: float = SIMILARITY) -> DataFrame:
     """Of pairs (a, b) of ids, those whose texts have the similarity. texts: (node, text)."""
     shared = pairs.sparkSession.sparkContext.broadcast(idf)
 
@@ -220,55 +284,127 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: fl
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def links(docs: DataFrame, exact: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between the nodes of different texts that connect every two near-duplicates a bucket holds.
+def _links_inside(nodes: np.ndarray, labels: np.ndarray, first: np.ndarray, second: np.ndarray, texts: list, idf: Idf, similarity: float) -> list[tuple[int, int]]:
+    """Links (label, label) that connect the classes of similar texts, one of `first` and one of `second` each (masks)."""
+    held = []
+    for text in texts:
+        h = np.sort(shingles(text))
+        run = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0) if len(h) else np.zeros(0, np.int64)
+        # of a shingle that occurs n times, occurrence 1 to n each are an element: shared ones weigh the smaller count
+        nth = np.arange(len(h)) - np.repeat(run, np.diff(np.append(run, len(h))))
+        held.append((_mix(h + nth.astype(np.uint64) * _M) if nth.any() else _mix(h), idf(h)))
+    ends = np.concatenate([[0], np.cumsum([len(h) for h, _ in held])])
+    everything = np.concatenate([h for h, _ in held])
+    weight = np.concatenate([w for _, w in held])
+    total = np.add.reduceat(np.append(weight, 0), ends[:-1]) * (np.diff(ends) > 0)
+    _, element, n = np.unique(everything, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(held)), np.diff(ends))[np.argsort(element, kind="stable")]
+    begin = np.cumsum(n) - n
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while x in root:
+            x = root[x]
+        return x
+
+    names, counts = np.unique(labels, return_counts=True)
+    rest = np.flatnonzero(labels != names[counts.argmax()])  # a link between classes has an end outside the largest
+    out = []
+    for x in rest.tolist():
+        mine = element[ends[x] : ends[x + 1]]
+        shared = n[mine] > 1
+        size, at = n[mine][shared], begin[mine][shared]
+        places = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        both = np.bincount(owner[places], np.repeat(weight[ends[x] : ends[x + 1]][shared], size), len(held))
+        alike = both >= similarity * (total[x] + total - both)
+        alike &= (both > 0) & (labels != labels[x]) & ((first & second[x]) | (second & first[x]))
+        for y in np.flatnonzero(alike).tolist():
+            a, b = find(int(labels[x])), find(int(labels[y]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((min(a, b), max(a, b)))
+    return out
+
+
+def resolved(state: DataFrame, texts: DataFrame, idf: Idf, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between labels, from all pairs of members in each bucket that holds several. state: (key, node, label)."""
+    shared = state.sparkSession.sparkContext.broadcast(idf)
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in (1, 2)]
+    several = state.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"), *marks)
+    # two members have been compared; buckets with the same members hold the same pairs
+    several = several.where("n > 2 AND least <> most").groupBy("n", "mark1", "mark2").agg(F.min("key").alias("key")).select("key")
+    open_ = state.join(several, "key", "left_semi").join(texts, "node")
+    open_ = written(open_.select("key", "node", "label", "text"), "open")
+    blocks = open_.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = open_.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "label", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        group, held = None, []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            block, node, label = (np.concatenate([p.column(k).to_numpy() for p in held]) for k in (3, 4, 5))
+            texts = [t for p in held for t in p.column(6).to_pylist()]
+            pairs = _links_inside(node, label, block == group[1], block == group[2], texts, table, similarity)
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(k).to_numpy() for k in range(3)]
+            cuts = np.flatnonzero(np.any([np.diff(c) != 0 for c in columns], axis=0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                now = tuple(int(c[a]) for c in columns)
+                if now != group and held:
+                    yield from found()
+                    held.clear()
+                group = now
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from found()
+
+    ordered = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    links = written(ordered.mapInArrow(run, "a long, b long"), "between")
+    dropped(open_)
+    return links
+
+
+def labelled(docs: DataFrame, exact: DataFrame, idf: Idf, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, component) of the nodes that have near-duplicates.
 
     exact: (node, doc_id, exact, keys, sig), one row per distinct text, with its smallest id (null if none) and digest.
     """
-    spark = docs.sparkSession
-    members = written(exact.select("node", F.explode("keys").alias("key")).distinct(), "members")
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    state = written(members.join(shared, "key"), "shared")
-    touched = state.select("node").distinct()
+    members = exact.select("node", F.explode("keys").alias("key"))
+    shared = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1").select("key", "first")
+    state = written(members.join(shared, "key"), "state")
+    pairs = written(state.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    sigs = exact.select("node", "sig")
+    alike = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
+    agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
+    alike = written(alike.where(agree >= LEAST_AGREE).select("a", "b"), "alike")
+    dropped(pairs)
     # a text is read from the rows of its smallest id, so copies are not gathered
+    touched = alike.select(F.col("a").alias("node")).union(alike.select("b")).union(state.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").join(state, "key").select("node")).distinct()
     of_node = exact.join(touched, "node", "left_semi").select("node", _key("doc_id", "exact").alias("key"))
     texts = docs.select(_key("doc_id", _digest()).alias("key"), "text").join(of_node, "key")
     texts = written(texts.groupBy("key", "node").agg(F.min("text").alias("text")).select("node", "text"), "texts")
-    sigs = written(exact.join(touched, "node", "left_semi").select("node", "sig"), "sigs")
-    state = written(state.withColumn("label", F.col("node")), "state")
-    done: list[DataFrame] = []  # compared pairs: (a, b, same)
-    reps = 1  # of each bucket and round; four times as many each round, so rounds grow with the logarithm of its size
-    while True:
-        if reps == 1:
-            first = state.groupBy("key").agg(F.min(F.struct("node", "label")).alias("rep")).select("key", F.col("rep.node").alias("a"), F.col("rep.label").alias("a_label"))
-        else:
-            place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-            first = state.withColumn("place", place).where(F.col("place") <= reps).select("key", F.col("node").alias("a"), F.col("label").alias("a_label"))
-        first = written(first, "first")
-        pairs = state.join(first, "key").where("node > a AND label <> a_label").select("a", F.col("node").alias("b")).distinct()
-        if done:
-            pairs = pairs.join(reduce(DataFrame.union, done), ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        alike = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-        agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
-        alike = alike.where(agree >= LEAST_AGREE).select("a", "b")
-        same = verified(alike, texts, idf, similarity).withColumn("same", F.lit(True))
-        done.append(written(pairs.join(same, ["a", "b"], "left").select("a", "b", F.coalesce("same", F.lit(False)).alias("same")), "compared"))
-        # labels are components of all links so far: what one bucket has linked, no other compares again
-        roots = components(reduce(DataFrame.union, done).where("same").select("a", "b"))
-        rest = state.join(first.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
-        rest = written(rest.join(roots, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")), "rest")
-        # a bucket is through when its members share one label
-        still = rest.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
-        dropped(state)
-        state = written(rest.join(still, "key", "left_semi"), "state")
-        for t in (first, pairs, rest):
-            dropped(t)
-        if not state.take(1):
-            break
-        reps *= 4
-        spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the last round's shuffle files
-    return reduce(DataFrame.union, done).where("same").select("a", "b")
+    roots = components(verified(alike, texts, idf, similarity))
+    roots = written(roots, "labels")
+    dropped(alike)
+    state_labels = state.join(roots, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    links = resolved(state_labels, texts, idf, similarity)
+    for t in (state, texts):
+        dropped(t)
+    # labels that links connect; the rest keep theirs
+    further = written(components(links).select(F.col("node").alias("label"), F.col("component").alias("whole")), "further")
+    own = roots.select("node", F.col("component").alias("label")).union(further.join(roots, F.col("label") == F.col("component"), "left_anti").select("label", "label"))
+    out = written(own.join(further, "label", "left").select("node", F.coalesce("whole", "label").alias("component")), "components")
+    for t in (roots, links, further):
+        dropped(t)
+    return out
 
 
 def _classed(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -283,9 +419,11 @@ def _classed(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame,
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "exact", "row")).alias("first")
     texts = signed.groupBy("exact").agg(least, F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     texts = written(texts.select("exact", "first", "first.doc_id", "keys", "sig", F.monotonically_increasing_id().alias("node")), "exact")
-    roots = components(links(docs, texts, idf, similarity))
+    roots = labelled(docs, texts, idf, similarity)
     of_text = texts.select("exact", "first", "node").join(roots, "node", "left")
     of_text = written(of_text.select("exact", "first", F.coalesce("component", "node").alias("component")), "classes")
+    for t in (texts, roots):
+        dropped(t)
     return signed.select("row", "doc_id", "exact"), of_text.select("exact", "component"), of_text.groupBy("component").agg(F.min("first").alias("first"))
 
 
