@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,8 +43,6 @@ SEED = 23
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xD6E8FEB86659FD93)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -54,20 +53,10 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """64-bit hashes of the runs of `words` words (between ASCII white space) of a text, repeats included; of all words if fewer."""
-    data = np.frombuffer((text or "").encode(), np.uint8)
-    blank = np.concatenate([[True], _SPACE[data], [True]])
-    edge = np.flatnonzero(blank[1:] != blank[:-1])
-    begin, end = edge[::2], edge[1::2]
-    if not len(begin):
-        return np.zeros(0, np.uint64)
-    size = end - begin
-    power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(size.max()), _P, np.uint64)]))
-    inner = ~blank[1:-1]
-    within = np.arange(len(data)) - np.repeat(begin, np.diff(np.append(begin, len(data)))) if begin[0] == 0 else None
-    if within is None:
-        within = np.arange(len(data)) - np.concatenate([np.zeros(begin[0], np.int64), np.repeat(begin, np.diff(np.append(begin, len(data))))])
-    terms = np.where(inner, (data.astype(np.uint64) + np.uint64(1)) * power[np.minimum(within, size.max())], np.uint64(0))
-    h = _mix(np.add.reduceat(terms, begin) + size.astype(np.uint64))
+    own = (text or "").encode().split()
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))
+    if not len(h):
+        return h
     n = min(words, len(h))
     out = np.zeros(len(h) - n + 1, np.uint64)
     for k in range(n):
@@ -189,7 +178,7 @@ class Sampler:
         self.inverse = (1 / self.r).astype(np.float32)
         self.log_c = np.log(rng.gamma(2, 1, POOL)).astype(np.float32)
         self.beta = rng.random(POOL).astype(np.float32)
-        self.odd = (rng.integers(1, 1 << 62, (n, 1)).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
+        self.odd = (rng.integers(1, 1 << 62, (n, 1)).astype(np.uint64) << np.uint64(1)).astype(np.uint32) | np.uint32(1)
 
         self.usual: tuple[float, np.ndarray, np.ndarray] | None = None
 
@@ -207,12 +196,13 @@ class Sampler:
         best = np.full(len(self.odd), np.inf, np.float32)
         best_at, best_t = np.zeros(len(best), np.int64), np.zeros(len(best), np.float32)
         rows = np.arange(len(best))
+        short = (h >> np.uint64(32)).astype(np.uint32)
         for own in (True, False):
             places = np.flatnonzero(most == own)
             for at in range(0, len(places), 2048):
                 some = places[at : at + 2048]
-                i = ((h[None, some] * self.odd) >> np.uint64(48)).astype(np.int32)
-                log_a, t = (usual_a[i], None) if own else self._level(np.log(w[some]).astype(np.float32), i)
+                i = ((short[None, some] * self.odd) >> np.uint32(16)).astype(np.int64)
+                log_a, t = (usual_a.take(i, mode="wrap"), None) if own else self._level(np.log(w[some]).astype(np.float32), i)
                 k = log_a.argmin(1)
                 low = log_a[rows, k]
                 level = usual_t[i[rows, k]] if own else t[rows, k]
