@@ -351,6 +351,37 @@ def test_bpe_equals_the_library_and_decodes(spark, documents):
     assert byte_bpe.encode(docs.limit(0)).count() == 0
 
 
+def test_bpe_of_huge_words_and_empty_chunks(spark):
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("etaoinshrdlu") for _ in range(n))
+    own = library()
+    texts = [letters(20_000), "ab" * 5000, "é" * 3000, letters(byte_bpe.LONG), letters(byte_bpe.LONG + 1), "z " + letters(4000)]
+    got = {r.doc_id: r.ids for r in byte_bpe.encode(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [own.encode_ordinary(t) for t in texts]
+    huge = letters(200_000)
+    back = byte_bpe.digests(docs_of(spark, [huge])).first()
+    assert back.decoded_sha256 == hashlib.sha256(huge.encode()).hexdigest()
+    none = byte_bpe.encode(spark.createDataFrame([("a", ""), (None, None), ("a", "")], "doc_id string, text string")).collect()
+    assert Counter((r.doc_id, r.n_bytes, tuple(r.ids)) for r in none) == Counter([("a", 0, ()), ("a", 0, ()), (None, 0, ())])
+
+
+def test_heap_and_pieces_equal_the_library():
+    own, known = library(), byte_bpe.ranks(public_tokenizers.path(byte_bpe.VOCABULARY))
+    rng = random.Random(2)
+    for _ in range(300):
+        word = "".join(rng.choice("abehilnorst") for _ in range(rng.randrange(1, 40)))
+        assert byte_bpe.merged_word(word.encode(), known) == own.encode_ordinary(word)
+
+
+def test_white_space_falls_into_the_same_words(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", "bc", " ", " ", "\n", "\t", "\u00a0", "'s", "1", "!?", "\u2003", "\r"]) for _ in range(30)) for _ in range(300)]
+    texts += ["a\nb c", "a \nb", "a\n b", "a\n\nb", " a", "\na", "a ", "a\n", "\n", "a b\nc\n"]
+    own = library()
+    got = {r.doc_id: r.ids for r in byte_bpe.encode(docs_of(spark, texts), chunk_bytes=500).collect()}
+    assert [got[i] for i in range(len(texts))] == [own.encode_ordinary(t) for t in texts]
+
+
 # ---- op10
 
 
