@@ -2,10 +2,11 @@
 
 Vectors are first parted by the signs of a few random projections, in several independent tables, so that only vectors
 of one cell meet. In a cell the vectors are sorted by each of many other projections; a vector collides with those inside
-a window around its own value; pairs whose number of collisions reaches a count are verified by their cosine in double
-precision. All of it is calibrated from the recall wanted for a pair at the threshold: a projection's difference for such
-a pair is normal with a known deviation, so the count's chance of being reached is a binomial tail, and the number of
-tables follows from the chance that no sign differs. Equal vectors are one vector with a multiplicity.
+a window around its own value; pairs whose number of collisions reaches a count, and whose summed squared differences are not
+too large, are verified by their cosine in double precision. All of it is calibrated from the recall wanted for a pair at
+the threshold: a projection's difference for such a pair is normal with a known deviation, so the count's chance of being
+reached is a binomial tail, the sum is chi-squared, and the number of tables follows from the chance that no sign differs.
+Equal vectors are one vector with a multiplicity.
 """
 
 from __future__ import annotations
@@ -17,15 +18,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodeweave.llm._common import components, written
+from lodeweave.llm._common import components, dropped, written
 
 SIMILARITY = 0.9
 PROJECTIONS = 32
 #: A window reaches so many deviations of the difference of a pair at the threshold.
 WINDOW = 1.5
-#: Chances of losing a pair at the threshold in all tables, and in the count.
-LOSE_TABLES, LOSE_COUNT = 2e-3, 5e-4
+#: Chances of losing a pair at the threshold in all tables, and in the count; deviations that its sum of squares may lie too high.
+LOSE_TABLES, LOSE_COUNT, FAR = 2e-3, 5e-4, 4.0
 #: So many vectors to twice as many share a cell on average, enough for the fixed cost of a projection not to outweigh
 #: theirs; a cell with more than BLOCK is counted in pairs of blocks.
 CELL, BLOCK = 64, 1024
@@ -57,18 +59,15 @@ def usable(v: Column) -> Column:
     return F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """In double precision; null for zero vectors."""
-
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, z: s + z)
-
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def units(lists: pa.Array, dim: int) -> np.ndarray:
+    """Vectors of length 1 in double precision; by the largest component first, so that no square overflows or vanishes."""
+    x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def cells(vectors: DataFrame, signs: int, tables: int) -> DataFrame:
     """Rows (node, cell, at): a vector's cell in each table and its projections in steps. Only these small rows are shuffled."""
-    kind = vectors.schema["node"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,9 +78,7 @@ def cells(vectors: DataFrame, signs: int, tables: int) -> DataFrame:
                 for dim in np.unique(dims):
                     take = np.flatnonzero(dims == dim)
                     chosen = part.take(pa.array(take))
-                    x = chosen.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(take), dim)
-                    x = x / np.abs(x).max(1, keepdims=True)
-                    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                    x = units(chosen.column(1), dim)
                     bits = (x @ _directions(0, signs * tables, dim) > 0).reshape(len(take), tables, signs)
                     code = (bits.astype(np.int64) << np.arange(signs)).sum(2)
                     code = (code * tables + np.arange(tables)) * 65_536 + dim
@@ -90,7 +87,7 @@ def cells(vectors: DataFrame, signs: int, tables: int) -> DataFrame:
                     for t in range(tables):
                         yield pa.RecordBatch.from_arrays([chosen.column(0), pa.array(code[:, t]), held], ["node", "cell", "at"])
 
-    return vectors.select("node", "embedding").mapInArrow(run, f"node {kind.simpleString()}, cell long, at binary")
+    return vectors.select("node", "embedding").mapInArrow(run, "node long, cell long, at binary")
 
 
 def colliding(v: np.ndarray, w: np.ndarray, window: float, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,25 +96,25 @@ def colliding(v: np.ndarray, w: np.ndarray, window: float, count: int) -> tuple[
     v, w: one row of projections a vector. Each projection of w is sorted; the window around each v is a run of it.
     """
     out_i, out_j = [], []
-    order = np.argsort(w, axis=0, kind="stable")
+    places = v.shape[1]
+    order = np.argsort(w, axis=0, kind="stable").T.ravel()
+    # the lines of all projections one after the other, so one search does for all
+    apart = np.arange(places) * 100_000
+    lines = (np.sort(w, axis=0).astype(np.int64) + apart).T.ravel()
     for at in range(0, len(v), 256):
-        some = v[at : at + 256]
-        counts = np.zeros(len(some) * len(w), np.int16)
-        for k in range(v.shape[1]):
-            line = w[order[:, k], k]
-            low = np.searchsorted(line, some[:, k] - window, "left")
-            n = np.searchsorted(line, some[:, k] + window, "right") - low
-            begin = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-            found = order[begin + np.arange(n.sum()), k]
-            counts[np.repeat(np.arange(len(some)) * len(w), n) + found] += 1  # a pair meets once a projection
-        hit = np.flatnonzero(counts >= count)
+        some = v[at : at + 256].astype(np.int64) + apart
+        low = np.searchsorted(lines, (some - window).ravel(), "left")
+        n = np.searchsorted(lines, (some + window).ravel(), "right") - low
+        found = order[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        pair = np.repeat(np.repeat(np.arange(len(some)) * len(w), places), n) + found
+        hit = np.flatnonzero(np.bincount(pair, minlength=len(some) * len(w)) >= count)  # a pair meets once a projection
         out_i.append(hit // len(w) + at)
         out_j.append(hit % len(w))
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
 def candidates(vectors: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of distinct vectors that collide often enough."""
+    """Distinct pairs (a, b), a < b, of distinct vectors (node, embedding) that collide often enough and closely enough."""
     signs, tables, count = plan(vectors.count(), similarity)
     dealt = cells(vectors, signs, tables)
     sizes = dealt.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
@@ -127,46 +124,87 @@ def candidates(vectors: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     dealt = dealt.select("cell", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "at")
     far = 2 - 2 * similarity
 
-    def count_cell(key: tuple, rows: pa.Table) -> pa.Table:
-        dim = key[0].as_py() % 65_536
+    def of_group(group: tuple, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        cell, lo, hi = group
+        variance = far / (cell % 65_536) * _SCALE**2
         # one step more for rounding
-        window = WINDOW * math.sqrt(far / dim) * _SCALE + 1
-        at = np.frombuffer(b"".join(rows.column("at").to_pylist()), np.int8).reshape(-1, PROJECTIONS).astype(np.int16)
-        node, block = rows.column("node").to_numpy(), rows.column("block").to_numpy()
-        lo, hi = key[1].as_py(), key[2].as_py()
+        window = WINDOW * math.sqrt(variance) + 1
+        most = (PROJECTIONS + FAR * math.sqrt(2 * PROJECTIONS)) * (variance + 0.25)
+        at = np.frombuffer(b"".join(x for r in rows for x in r.column(5).to_pylist()), np.int8).reshape(-1, PROJECTIONS).astype(np.int16)
+        block, node = (np.concatenate([r.column(k).to_numpy() for r in rows]) for k in (3, 4))
         one, other = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
         i, j = colliding(at[one], at[other], window, count) if len(one) and len(other) else (np.zeros(0, int), np.zeros(0, int))
-        a, b = node[one[i]], node[other[j]]
+        near = ((at[one[i]] - at[other[j]]).astype(np.int32) ** 2).sum(1) <= most
+        a, b = node[one[i[near]]], node[other[j[near]]]
         if lo == hi:
             a, b = a[a < b], b[a < b]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in batches:
+            keys = [batch.column(k).to_numpy() for k in range(3)]
+            cuts = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1
+            for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if x == y:
+                    continue
+                now = tuple(int(k[x]) for k in keys)
+                if now != group and held:
+                    yield of_group(group, held)
+                    held.clear()
+                group = now
+                held.append(batch.slice(x, y - x))
+        if held:
+            yield of_group(group, held)
+
+    ordered = dealt.repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+
+def alike(pairs: DataFrame, vectors: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Of pairs (a, b), those whose vectors (node, embedding) have the cosine, in double precision. Vectors of other lengths have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                dims = [part.column(k).value_lengths().to_numpy(zero_copy_only=False) for k in (2, 3)]
+                for dim in np.unique(dims[0]):
+                    own = part.take(pa.array(np.flatnonzero((dims[0] == dim) & (dims[1] == dim))))
+                    good = np.einsum("ij,ij->i", units(own.column(2), dim), units(own.column(3), dim)) >= similarity if own.num_rows else np.zeros(0, bool)
+                    yield pa.RecordBatch.from_arrays([own.column(k).filter(pa.array(good)) for k in (0, 1)], ["a", "b"])
 
-    kind = vectors.schema["node"].dataType.simpleString()
-    return dealt.groupBy("cell", "lo", "hi").applyInArrow(count_cell, f"a {kind}, b {kind}").distinct()
+    with_a = pairs.join(vectors.select(F.col("node").alias("a"), F.col("embedding").alias("x")), "a")
+    both = with_a.join(vectors.select(F.col("node").alias("b"), F.col("embedding").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def link_classes(embeddings: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Per vector: vec_id, n_links, component_id, kept.
 
     Vectors that are null, zero or hold a null or non-finite component link with nothing. Rows with equal vectors link
-    with each other; each row counts as a vector, repeated ids too. Vectors of other lengths do not link. Rows with a
-    null id count as links of their equals, and have a null component unless an equal vector has an id. Other columns
+    with each other; each row counts as a vector, whatever its id: null and repeated ids lose no link. Vectors of other
+    lengths do not link. A component whose vectors all lack an id has none. An id that is a string stays one. Other columns
     are ignored; no rows give none. Pairs below the similarity never link; one at it is lost with a chance of about
-    LOSE_TABLES + LOSE_COUNT, one nearer with less.
+    LOSE_TABLES + LOSE_COUNT + 1e-3, one nearer with less.
     """
     good = embeddings.select("vec_id", "embedding").where(usable(F.col("embedding")))
-    distinct = written(good.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "vectors")
-    nodes = distinct.where("node IS NOT NULL")
-    pairs = candidates(nodes, similarity)
-    with_a = pairs.join(nodes.select(F.col("node").alias("a"), F.col("embedding").alias("x")), "a")
-    both = with_a.join(nodes.select(F.col("node").alias("b"), F.col("embedding").alias("y")), "b")
-    linked = written(both.where(cosine(F.col("x"), F.col("y")) >= similarity).select("a", "b"), "links")
+    distinct = good.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    linked = written(alike(candidates(distinct.select("node", "embedding"), similarity), distinct, similarity), "links")
     ends = linked.union(linked.select("b", "a"))
-    copies = distinct.select(F.col("node").alias("b"), "copies")
-    per_node = ends.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    roots = components(linked).withColumnRenamed("node", "a")
-    facts = distinct.select("embedding", F.col("node").alias("a"), "copies").join(per_node, "a", "left").join(roots, "a", "left")
-    facts = facts.select(F.col("embedding").alias("vector"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "a").alias("c"))
+    per_node = ends.join(distinct.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others")).withColumnRenamed("a", "node")
+    roots = components(linked)
+    firsts = roots.join(distinct.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("first"))
+    of_node = roots.join(firsts, "component").select("node", "component", "first")
+    facts = distinct.join(per_node, "node", "left").join(of_node, "node", "left")
+    first = F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("first"))
+    facts = facts.select(F.col("embedding").alias("vector"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), first.alias("c"))
+    facts = written(facts, "facts")
+    for t in (distinct, linked):
+        dropped(t)
+    # an unusable vector is alone
     out = embeddings.select("vec_id", "embedding").join(facts, F.col("embedding") == F.col("vector"), "left")
-    own = F.coalesce("c", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), own.cast("long").alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(False)).alias("kept"))
+    own = F.when(F.col("vector").isNull(), F.col("vec_id")).otherwise(F.col("c"))
+    shown = own if isinstance(embeddings.schema["vec_id"].dataType, T.StringType) else own.cast("long")
+    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), shown.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(False)).alias("kept"))

@@ -114,6 +114,30 @@ def test_vector_links_equal_brute_force(spark):
     assert vector_dup.link_classes(df.limit(0)).count() == 0
 
 
+def test_vector_links_of_extreme_and_nameless_vectors(spark):
+    rows = [(1, [1e200, 0.0]), (2, [1e-200, 1e-200]), (3, [5e-324, 0.0]), (4, [1e200, 1e199]), (None, [3.0, 3.1]), (None, [0.0, -2.0]), (None, [0.01, -2.0]), (9, [-1.0, 0.0]), (9, [0.0, 1.0]), (9, [0.1, 1.0])]
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in vector_dup.link_classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), key=str)
+    want = [(1, 2, 1, True), (3, 2, 1, False), (4, 2, 1, False), (2, 1, 2, True), (None, 1, 2, False), (None, 1, None, False), (None, 1, None, False), (9, 0, 9, True), (9, 1, 9, True), (9, 1, 9, True)]
+    assert got == sorted(want, key=str)
+    named = vector_dup.link_classes(spark.createDataFrame([("b", [1.0, 0.0]), ("a", [2.0, 0.0])], "vec_id string, embedding array<double>")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in named} == {("a", 1, "a", True), ("b", 1, "a", False)}
+
+
+def test_vector_links_through_many_cells_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(700, 32))
+    x = np.concatenate([base, base + rng.normal(size=base.shape) * 0.42, base[:200] + rng.normal(size=(200, 32)) * 0.3])
+    y = x / np.linalg.norm(x, axis=1)[:, None]
+    want = np.argwhere(np.triu(y @ y.T >= 0.9, 1))
+    assert len(want) > 500
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, embedding array<double>").cache()
+    for cell, block in ((400, 1024), (6, 1024), (400, 100)):  # 2 signs, 8 signs, cells in pairs of blocks
+        monkeypatch.setattr(vector_dup, "CELL", cell)
+        monkeypatch.setattr(vector_dup, "BLOCK", block)
+        got = {(r.a, r.b) for r in vector_dup.alike(vector_dup.candidates(df), df).collect()}
+        assert got <= {tuple(p) for p in want.tolist()} and len(got) >= 0.99 * len(want)
+
+
 def test_collisions_equal_counting_all():
     rng = np.random.default_rng(0)
     v, w = rng.integers(-60, 60, (300, 32)).astype(np.int16), rng.integers(-60, 60, (70, 32)).astype(np.int16)
