@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,13 @@ def dropped(df: DataFrame) -> None:
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with its own columns of these names (in any case) put aside under others, and what brings docs' columns back."""
+    kept = {c: f"__own_{c}" if c.lower() in names else c for c in docs.columns}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in kept.items()])
+    return renamed, lambda df: df.select(*[F.col(f"`{k}`").alias(c) for c, k in kept.items()])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of the graph of `edges`: rows (node, component), component = the smallest node.
 

@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeweave.llm._common import aside
+
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 4), 16, 8
 #: The bound on labelled rows: about so many documents per language are fitted on, with so many windows each.
 FIT_DOCS, FIT_WINDOWS = 600, 3
@@ -178,6 +180,6 @@ def identify(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
 
 def known_language(docs: DataFrame, least: float = 0.4, fit_docs: int = FIT_DOCS) -> DataFrame:
     """The documents whose language is determined with a score of `least` or more, with their own columns."""
-    out = predict(docs, train(docs, fit_docs))
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return out.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*own)
+    renamed, back = aside(docs, ("lang_pred", "score"))
+    out = predict(renamed, train(docs, fit_docs))
+    return back(out.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)))

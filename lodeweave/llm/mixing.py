@@ -24,6 +24,11 @@ SHARD_SLOTS = 65_536
 BUCKETS = 1024
 
 
+def _identity() -> Column:
+    """128 bits of a row's id and text."""
+    return F.struct(F.xxhash64("doc_id", "text").alias("one"), F.xxhash64(F.lit(1), "doc_id", "text").alias("two"))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """Rows (row_id, doc_id, source, key, size) of a written table: size is the number of words, key tells texts apart."""
     return written(
@@ -31,7 +36,7 @@ def sized(docs: DataFrame) -> DataFrame:
             F.monotonically_increasing_id().alias("row_id"),
             F.col("doc_id"),
             F.col("source"),
-            F.xxhash64("doc_id", "text").alias("key"),
+            _identity().alias("key"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         ),
         "sized",
@@ -199,7 +204,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHAR
     nth = F.row_number().over(Window.partitionBy("row_id", "block").orderBy("slot"))
     takes = taken_pieces(docs, block_words, shard_slots, seed).where("end > lo").withColumn("nth", nth)
     takes = takes.groupBy("key").agg(F.sort_array(F.collect_list(part)).alias("parts"))
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text")).dropDuplicates(["__key"])
+    keyed = docs.withColumn("__key", _identity()).dropDuplicates(["__key"])
     joined = keyed.join(takes.withColumnRenamed("key", "__key").withColumnRenamed("parts", "__parts"), "__key")
     words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
     text = F.transform(

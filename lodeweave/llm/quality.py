@@ -202,8 +202,8 @@ def resample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
 
 
 def select_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The documents that resample() keeps, with their own columns."""
-    own = [c for c in docs.columns if c not in ("score", "kept")]
+    """The documents that resample() keeps, with their own columns but those called score or kept."""
+    own = [c for c in docs.columns if c.lower() not in ("score", "kept")]
     scores, cut = fitted_scores(docs, labels, own, fit_rows)
     k = scores.where(F.coalesce(F.col("score") >= F.lit(float(cut)), F.lit(bool(cut == -np.inf)))).count()
     return gumbel_top_k(scores, k).where("kept").select(*own)

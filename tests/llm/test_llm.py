@@ -485,3 +485,46 @@ def test_search_equals_scoring_all(spark, documents):
         assert [round(x[1], 9) for x in mine] == [round(x[1], 9) for x in want]
         assert {x[0] for x, w in zip(mine, want, strict=True) if want.count(w) == 1} <= {d for d, s in want} | {x[0] for x in mine}
     assert search.search(docs.limit(0), queries).count() == 0
+
+
+# ---- pipeline
+
+
+def test_stages_equal_plain_loops(spark, documents):
+    """Each stage on its own input, with clashing columns: what it keeps follows from the operator's results row by row."""
+    import corpus_pipeline
+
+    (_, identified), (_, good), (_, unlike), (_, mixed), (_, encoded) = corpus_pipeline.STAGES
+    docs = documents.withColumn("Score", F.lit("own")).withColumn("kept", F.lit("own")).withColumn("lang_pred", F.lit("own"))
+    rows = {r.doc_id: r for r in docs.collect()}
+
+    def same(df, without=()):
+        own = [c for c in docs.columns if c not in without]
+        assert df.columns == own
+        out = df.collect()
+        assert all(all(rows[r.doc_id][c] == r[c] for c in own) for r in out)
+        return sorted(r.doc_id for r in out)
+
+    told = language_id.identify(documents).collect()
+    assert same(identified(spark, docs, SF)) == sorted(r.doc_id for r in told if r.lang_pred != "und" and r.score >= 0.4)
+    judged = quality.resample(documents, spark.read.parquet(f"{SF}/labels.parquet")).collect()
+    assert same(good(spark, docs, SF), without=("Score", "kept")) == sorted(r.doc_id for r in judged if r.kept)
+    texts = [rows[i].text for i in sorted(rows)]
+    classes = brute_classes(texts, near_dup.idf_table(documents.select("text")))
+    firsts = sorted({sorted(rows)[c] for c in classes.values()})
+    assert same(unlike(spark, docs, SF)) == firsts
+    taken = {r.doc_id: r.taken for r in mixing.mix_counts(documents).collect()}
+    for r in mixed(spark, docs, SF).collect():
+        words, own = r.text.split(), rows[r.doc_id].text.split()
+        assert len(words) == taken.pop(r.doc_id) and set(words) <= set(own) and r.n_chars == len(r.text)
+    assert not any(taken.values())
+    library_of = library()
+    for r in encoded(spark, docs, SF).collect():
+        assert r.n_tokens == len(library_of.encode_ordinary(rows[r.doc_id].text))
+
+
+def test_pipeline_runs_whole(spark):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, SF)
+    assert set(out.columns) >= {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} and 0 < out.count() <= 200
