@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodeweave.llm import byte_bpe, language_id, mixing, near_dup, quality
-from lodeweave.llm._common import written
+from lodeweave.llm._common import dropped, written
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +39,15 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", identified), ("quality", good), ("near_duplicates", unlike), ("mixing", mixed), ("encoding", encoded)]
 
-#: SQL cannot express the trained stages; tests/llm holds each stage against a brute-force version.
+#: SQL cannot express the trained stages; tests/llm holds the stages against plain loops.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (name, stage) in enumerate(STAGES):
+        now = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if k:
+            dropped(docs)
+        docs = now
     return docs
