@@ -16,6 +16,7 @@ import heapq
 import json
 import pickle
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,8 +38,8 @@ _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 SEGMENT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: Texts that need SEGMENT; in all others a segment is a piece between single spaces or line ends, with the one before it.
 _ODD = re.compile(f"[{_SPACE.replace('t-', 't\\x0b-').replace(' ', '')}]|[ \\n][ \\n]|\\A[ \\n]| \\Z")
-#: Groups and slots of the hash table: primes.
-_GROUPS, _SLOTS = 32_749, 196_613
+#: Groups and slots of the hash table: primes. The table is part of the plan, which the driver holds, so it is small.
+_GROUPS, _SLOTS = 32_749, 131_101
 #: A word in a chunk is one number: task, chunk of the task, code of the word.
 _CHUNKS, _CODES = 14, 27
 
@@ -50,37 +51,38 @@ def ranks(path: str) -> dict[bytes, int]:
 
 
 @functools.cache
-def pair_table(path: str) -> tuple[list[int], list[int], list[int]]:
-    """Slots' pairs (or -1), slots' ranks, and displacements: pair (a, b) is p = a * 65536 + b, and sits in slot
+def pair_table(path: str) -> tuple[str, str]:
+    """As JSON: slots holding pair * 65536 + rank (or -1), and displacements: pair (a, b) is p = a * 65536 + b, and sits in slot
     (p xor displacement[p mod GROUPS]) mod SLOTS."""
     known = ranks(path)
     if max(known.values(), default=0) >= 1 << 16:
         raise ValueError("ranks of 65536 and more are not supported")
-    pairs = {}
+    pairs, merged = array("q"), array("q")
     for token, rank in known.items():
         for cut in range(1, len(token)):
             a, b = known.get(token[:cut]), known.get(token[cut:])
             if a is not None and b is not None:
-                pairs[a << 16 | b] = rank
-    if len(pairs) > 0.9 * _SLOTS:
+                pairs.append(a << 16 | b)
+                merged.append(rank)
+    if len(pairs) > 0.95 * _SLOTS:
         raise ValueError("too many pairs for the table")
-    key = np.array(list(pairs), np.int64)
-    rank_of = np.array(list(pairs.values()), np.int64)
+    key = np.frombuffer(pairs, np.int64)
+    cell = key << 16 | np.frombuffer(merged, np.int64)
     group = key % _GROUPS
     order = np.argsort(group, kind="stable")
     size = np.bincount(group, minlength=_GROUPS)
     begin = np.concatenate([[0], np.cumsum(size)])
-    owner, held, moved = np.full(_SLOTS, -1, np.int64), np.zeros(_SLOTS, np.int64), np.zeros(_GROUPS, np.int64)
+    slots, moved = np.full(_SLOTS, -1, np.int64), np.zeros(_GROUPS, np.int64)
     draw = np.random.default_rng(1)
     for g in np.argsort(-size, kind="stable"):
         own = order[begin[g] : begin[g + 1]]
         while len(own):
             d = int(draw.integers(0, 1 << 31))
             at = (key[own] ^ d) % _SLOTS
-            if (owner[at] < 0).all() and len(np.unique(at)) == len(at):
-                owner[at], held[at], moved[g] = key[own], rank_of[own], d
+            if (slots[at] < 0).all() and len(np.unique(at)) == len(at):
+                slots[at], moved[g] = cell[own], d
                 break
-    return owner.tolist(), held.tolist(), moved.tolist()
+    return tuple(f"[{','.join(map(str, x))}]" for x in (slots, moved))
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -90,19 +92,20 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def encoded_word(word: Column, path: str) -> Column:
     """The ids of a word, by folding ranked merges over its bytes; null for null, no ids for the empty word."""
-    owner, held, moved = pair_table(path)
+    slots, moved = pair_table(path)
     known = ranks(path)
     table = F.struct(
-        F.from_json(F.lit(json.dumps(owner)), "array<bigint>").alias("owner"),
-        F.from_json(F.lit(json.dumps(held)), "array<int>").alias("rank"),
-        F.from_json(F.lit(json.dumps(moved)), "array<bigint>").alias("moved"),
+        F.from_json(F.lit(slots), "array<bigint>").alias("slots"),
+        F.from_json(F.lit(moved), "array<int>").alias("moved"),
         F.from_json(F.lit(json.dumps([known[bytes([b])] for b in range(256)])), "array<int>").alias("bytes"),
     )
 
     def rank(t: Column, a: Column, b: Column) -> Column:
         pair = a * F.lit(65536).cast("long") + b
-        at = (pair.bitwiseXOR(F.get(t["moved"], (pair % _GROUPS).cast("int"))) % _SLOTS).cast("int")
-        return F.when(F.get(t["owner"], at) == pair, F.get(t["rank"], at))
+        at = (pair.bitwiseXOR(F.get(t["moved"], (pair % _GROUPS).cast("int")).cast("long")) % _SLOTS).cast("int")
+        # the cell less the pair's place is the rank, if the cell is the pair's
+        rest = F.get(t["slots"], at) - pair * F.lit(65536).cast("long")
+        return F.when(rest.between(0, 65535), rest.cast("int"))
 
     def merged(t: Column) -> Callable[[Column, Column], Column]:
         def step(state: Column, _: Column) -> Column:
