@@ -484,9 +484,35 @@ def test_search_equals_scoring_all(spark, documents):
         assert len(got.get(q, {})) == len(want)
         assert [round(x[1], 9) for x in mine] == [round(x[1], 9) for x in want]
         assert {x[0] for x, w in zip(mine, want, strict=True) if want.count(w) == 1} <= {d for d, s in want} | {x[0] for x in mine}
+        # the documents too: those of a score that is not tied, and on ties (of scores equal to the last bit) the smaller ids
+        for x, y in zip(mine, want, strict=True):
+            assert x[0] == y[0] or abs(x[1] - y[1]) < 1e-9
     assert search.search(docs.limit(0), queries).count() == 0
 
 
+def test_search_gives_ties_to_smaller_ids(spark):
+    from lodeweave.llm import search
+
+    docs = spark.createDataFrame([(i, "red fox" if i % 2 else "blue whale") for i in range(40, 0, -1)] + [(None, "red fox"), (7, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "fox fox"), (2, "whale red"), (3, "none"), (4, None)], "query_id long, text string")
+    got = sorted((r.query_id, r.place, r.doc_id) for r in search.search(docs, asked, k=4, shard_bytes=40).collect())
+    assert got == [(1, p, d) for p, d in enumerate((1, 3, 5, 7), 1)] + [(2, p, d) for p, d in enumerate((1, 2, 3, 4), 1)]
+
+
+def test_an_index_holds_what_a_loop_counts():
+    from lodeweave.llm import search
+
+    texts = ["b a a", None, "c b", "a " * 9]
+    own = search.Index.load(search.Index.build([5, 1, 9, 3], texts, 4.0).dump())
+    assert own.ids.tolist() == [1, 3, 5, 9] and list(own.term) == ["a", "b", "c"]
+    norm = {1: 0, 3: 9, 5: 3, 9: 2}
+    want = {"a": {3: 9, 5: 2}, "b": {5: 1, 9: 1}, "c": {9: 1}}
+    for t, i in own.term.items():
+        some = slice(own.begin[i], own.begin[i + 1])
+        got = dict(zip(own.ids[own.at[some]].tolist(), own.impact[some].tolist(), strict=True))
+        assert got == {d: pytest.approx(n * 2.2 / (n + 1.2 * (0.25 + 0.75 * norm[d] / 4))) for d, n in want[t].items()}
+
+
 # ---- pipeline
 
 
