@@ -1,4 +1,4 @@
-"""File streams: lazy filter and map, bounded take and resume through the checkpoint."""
+"""File streams: lazy filter and map, and resume through the checkpoint."""
 
 from __future__ import annotations
 
