@@ -182,9 +182,12 @@ def _(s, d):
     return _brackets(s, d).agg(F.max(F.greatest(F.lit(1), F.size(text.pieces(F.col("sequence"), text.BRACKETED)))).cast("long").alias("max_span"))
 
 
-@_add("x08_looks_like_smiles", "SELECT p_partkey, regexp_matches(substr(upper(p_name), 1, 4), '^(?:\\[[0-9]*(?:Br|Cl|[HBCNOPSFIbcnops])[^\\]]*\\]|Br|Cl|[BCNOPSFIbcnops]|%[0-9][0-9]|[()\\-.=#$:/\\\\+@]|[0-9])+$') AS looks FROM part")
+@_add("x08_looks_like_smiles", "SELECT p_partkey, regexp_matches(trim(CASE WHEN p_size > 25 THEN regexp_replace(upper(p_name), '[^BCNOPSFI]', '', 'g') || '=O ' ELSE upper(p_name) END), '^(?:\\[[0-9]*(?:Br|Cl|[HBCNOPSFIbcnops])[^\\]]*\\]|Br|Cl|[BCNOPSFIbcnops]|%[0-9][0-9]|[()\\-.=#$:/\\\\+@]|[0-9])+$') AS looks FROM part")
 def _(s, d):
-    return _t(s, d, "part").select("p_partkey", F.substring(F.upper("p_name"), 1, 4).rlike(text.SMILES).alias("looks"))
+    # whole values, stripped; of large parts only the letters that stand for atoms, so that some look so
+    atoms = F.concat(F.regexp_replace(F.upper("p_name"), "[^BCNOPSFI]", ""), F.lit("=O "))
+    value = F.trim(F.when(F.col("p_size") > 25, atoms).otherwise(F.upper("p_name")))
+    return _t(s, d, "part").select("p_partkey", value.rlike(text.SMILES).alias("looks"))
 
 
 @_add("w07_adjacent_pairs", "WITH t AS (SELECT p_partkey, list_concat(" + _WORDS + ", " + _WORDS + ") AS toks FROM part), p AS (SELECT unnest(list_zip(toks[:-2], toks[2:])) AS z FROM t) SELECT z[1] AS \"left\", z[2] AS \"right\", count(*) AS n FROM p GROUP BY 1, 2")
