@@ -350,6 +350,16 @@ def test_layouts_of_one_host_keep_their_own_paths(spark):
     assert texts_of(spark, [short] * 6 + [f"<div class=teaser><a href=/>More here</a></div>{long}"])[6] == "Long text of it. With sentences. And more."
 
 
+def test_a_tag_without_an_end_is_read_once():
+    import time
+
+    began = time.process_time()
+    for run in ("<" + "a" * 1_000_000, "<a " + "b=c " * 250_000, "<a href='" + "x" * 1_000_000):
+        found = html_text.blocks(f"<p>Words of it. And more.</p>{run}")
+        assert found[0][1] == "Words of it. And more."
+    assert time.process_time() - began < 20
+
+
 # ---- op9
 
 
