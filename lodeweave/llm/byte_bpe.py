@@ -2,8 +2,8 @@
 
 One pass over the texts, without moving them, gives each chunk of documents its distinct words and the documents as codes of
 these words. Each distinct word of the corpus is then encoded once, by Spark higher-order functions: the word is an array of
-byte tokens, and a fold merges, while any adjacent pair has a rank, the pair of the lowest rank. The ranks are one literal:
-a perfect hash table over the pairs of tokens. Chunks of codes and the ids of their words meet again by chunk, so no worker
+byte tokens, and a fold merges, while any adjacent pair has a rank, the pair of the lowest rank. The ranks are one literal row
+of the plan: a perfect hash table over the pairs of tokens. Chunks of codes and the ids of their words meet again by chunk, so no worker
 holds more than one chunk. A fold copies its array at each step, so words above LONG bytes are merged by the same rule with
 a heap. Decoding concatenates the tokens' binary pieces.
 """
@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
-import json
 import pickle
 import re
 from array import array
@@ -24,7 +23,7 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -51,8 +50,8 @@ def ranks(path: str) -> dict[bytes, int]:
 
 
 @functools.cache
-def pair_table(path: str) -> tuple[str, str]:
-    """As JSON: slots holding pair * 65536 + rank (or -1), and displacements: pair (a, b) is p = a * 65536 + b, and sits in slot
+def pair_table(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Slots holding pair * 65536 + rank (or -1), and displacements: pair (a, b) is p = a * 65536 + b, and sits in slot
     (p xor displacement[p mod GROUPS]) mod SLOTS."""
     known = ranks(path)
     if max(known.values(), default=0) >= 1 << 16:
@@ -82,7 +81,7 @@ def pair_table(path: str) -> tuple[str, str]:
             if (slots[at] < 0).all() and len(np.unique(at)) == len(at):
                 slots[at], moved[g] = cell[own], d
                 break
-    return tuple(f"[{','.join(map(str, x))}]" for x in (slots, moved))
+    return slots, moved.astype(np.int32)
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -90,15 +89,24 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def encoded_word(word: Column, path: str) -> Column:
-    """The ids of a word, by folding ranked merges over its bytes; null for null, no ids for the empty word."""
+def _row(spark: SparkSession, **arrays: pa.Array) -> Column:
+    """A struct of constant arrays, by a local row: each description of a plan prints literals in full, and such a row never.
+
+    Spark admits no subquery inside a higher-order function, so it is selected as a column first; as it is used once there,
+    the optimiser puts it back into its place, and no row carries it.
+    """
+    return spark.createDataFrame(pa.table({k: pa.array([x], pa.list_(x.type)) for k, x in arrays.items()})).select(F.struct(*arrays)).scalar()
+
+
+def rank_table(spark: SparkSession, path: str) -> Column:
+    """The merge ranks that encoded_word looks up, for a column of a select of its own."""
     slots, moved = pair_table(path)
     known = ranks(path)
-    table = F.struct(
-        F.from_json(F.lit(slots), "array<bigint>").alias("slots"),
-        F.from_json(F.lit(moved), "array<int>").alias("moved"),
-        F.from_json(F.lit(json.dumps([known[bytes([b])] for b in range(256)])), "array<int>").alias("bytes"),
-    )
+    return _row(spark, slots=pa.array(slots), moved=pa.array(moved), bytes=pa.array([known[bytes([b])] for b in range(256)], pa.int32()))
+
+
+def encoded_word(word: Column, table: Column) -> Column:
+    """The ids of a word, by folding ranked merges over its bytes; null for null, no ids for the empty word."""
 
     def rank(t: Column, a: Column, b: Column) -> Column:
         pair = a * F.lit(65536).cast("long") + b
@@ -286,7 +294,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str = public
     # rows themselves are dealt out: a partial list a word and chunk would be larger
     known = words.repartition("word").groupBy("word").agg(F.collect_list("at").alias("at"))
     short = F.octet_length("word") <= LONG
-    known = known.select("at", F.when(short, encoded_word(F.col("word"), path)).alias("ids"), F.when(~short, F.col("word")).alias("word"))
+    known = known.select("*", rank_table(docs.sparkSession, path).alias("table"))
+    known = known.select("at", F.when(short, encoded_word(F.col("word"), F.col("table"))).alias("ids"), F.when(~short, F.col("word")).alias("word"))
 
     def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each chunk, the codes of words, how many ids they have, and the ids."""
@@ -353,23 +362,27 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str = public
     return dealt.groupBy("chunk").cogroup(looked_up.groupBy("chunk")).applyInArrow(apply, f"doc_id {kind}, n_bytes long, ids array<int>")
 
 
-def decoded(ids: Column, vocabulary: str | None = None) -> Column:
-    """The bytes of ids: their pieces, concatenated; null for null."""
+def piece_table(spark: SparkSession, vocabulary: str | None = None) -> Column:
+    """The pieces that `decoded` looks up, for a column of a select of its own."""
     known = ranks(vocabulary or public_tokenizers.path(VOCABULARY))
-    pieces = [""] * (max(known.values(), default=-1) + 1)
+    pieces = [b""] * (max(known.values(), default=-1) + 1)
     for token, rank in known.items():
-        pieces[rank] = base64.b64encode(token).decode()
+        pieces[rank] = token
+    return _row(spark, pieces=pa.array(pieces, pa.binary()))
+
+
+def decoded(ids: Column, table: Column) -> Column:
+    """The bytes of ids: their pieces, concatenated; null for null."""
     # a binary piece goes through a string type as it is: no character is decoded
-    table = F.from_json(F.lit(json.dumps(pieces)), "array<binary>").cast("array<string>")
-    return _let(table, lambda held: F.array_join(F.transform(ids, lambda i: F.get(held, i)), "").cast("binary"))
+    return _let(table, lambda t: F.array_join(F.transform(ids, lambda i: F.get(t["pieces"], i).cast("string")), "").cast("binary"))
 
 
 def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256."""
     out = encode(docs, vocabulary)
-    return out.select(
+    return out.select("*", piece_table(docs.sparkSession, vocabulary).alias("table")).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(decoded(F.col("ids"), vocabulary), 256).alias("decoded_sha256"),
+        F.sha2(decoded(F.col("ids"), F.col("table")), 256).alias("decoded_sha256"),
     )
