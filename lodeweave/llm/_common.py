@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,11 @@ def dropped(df: DataFrame) -> None:
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places begin[0], begin[0] + 1, ... of runs of the given sizes, one after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 def aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """docs with its own columns of these names (in any case) put aside under others, and what brings docs' columns back."""
     kept = {c: f"__own_{c}" if c.lower() in names else c for c in docs.columns}

@@ -26,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeweave.llm._common import runs
+
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: A chunk of documents holds about so many bytes of text.
 CHUNK_BYTES = 20 << 20
@@ -197,11 +199,6 @@ def _unplaned(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view(np.int32).ravel()
 
 
-def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The places begin[0], begin[0] + 1, ... of runs of the given sizes, one after the other."""
-    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-
-
 def _coded(docs: DataFrame, pattern: str, chunk_bytes: int) -> DataFrame:
     """Rows of a chunk: documents (doc_ids, n_bytes, n_words, codes of their words) or, once, its words in order of code."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -311,7 +308,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str = public
                 some = order[a:b]
                 w = word[some]
                 step = np.diff(at[some] & ((1 << _CODES) - 1), prepend=0)
-                own = ids[_runs(begin[w], n[w])].astype(np.uint16)
+                own = ids[runs(begin[w], n[w])].astype(np.uint16)
                 # sorted codes by their differences, which are small
                 data = pickle.dumps((len(step), len(own), _planes(step), _planes(n[w]), _zstd().compress(own.tobytes(), asbytes=True)))
                 yield pa.RecordBatch.from_arrays([pa.array([int(at[some[0]]) >> _CODES], pa.int64()), pa.array([data], pa.binary())], ["chunk", "held"])
@@ -351,7 +348,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str = public
             words = _unplaned(left.column("codes")[k].as_py(), int(n_words.sum()))
             sizes = size[words]
             ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(n_words)])]
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[_runs(begin[words], sizes)].astype(np.int32)))
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[runs(begin[words], sizes)].astype(np.int32)))
             out.append(pa.table({"doc_id": doc_ids, "n_bytes": n_bytes, "ids": ids}))
         return pa.concat_tables(out) if out else pa.table({"doc_id": pa.nulls(0, id_type(left)), "n_bytes": pa.nulls(0, pa.int64()), "ids": pa.nulls(0, pa.list_(pa.int32()))})
 
