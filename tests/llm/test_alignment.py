@@ -4,6 +4,7 @@ import hashlib
 import json
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -86,10 +87,23 @@ def test_segments_encode_as_within_the_text(spark):
 
 
 def test_index_and_groups():
-    found, groups = alignment.overlaps([4, 8, 10], [2, 6, 8, 9, 10])
-    assert found == [(0, 2), (1, 3), (3, 5)] and groups == [(2, 3), (3, 5)]
-    assert alignment.overlaps([5], [1, 2, 5]) == ([(0, 3)], [(1, 3)])
-    assert alignment.overlaps([], []) == ([], [])
+    def of(a, b):
+        return [x.tolist() for x in alignment.overlaps(np.array(a, np.int64), np.array(b, np.int64))]
+
+    assert of([4, 8, 10], [2, 6, 8, 9, 10]) == [[0, 1, 3], [2, 3, 5], [2, 4]]
+    assert of([5], [1, 2, 5]) == [[0], [3], [2]]
+    assert of([1, 2, 5], [5]) == [[0, 0, 0], [1, 1, 1], [0]]
+
+
+def test_a_worker_forgets_segments_and_counts_on(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("n_chars").limit(90)
+    want = sorted(map(str, alignment.align(docs).collect()))
+    aligner = alignment.Aligner(public_tokenizers.path(alignment.VOCABULARY_A), public_tokenizers.path(alignment.VOCABULARY_B))
+    first = aligner.documents(["some words and words", None])
+    aligner.clear()
+    assert first == [aligner.documents(["some words and words"])[0], []] and aligner.facts.shape == (3, 4)
+    monkeypatch.setattr(alignment, "MOST_SEGMENTS", 50)
+    assert sorted(map(str, alignment.align(docs.repartition(2)).collect())) == want
 
 
 def test_no_rows_and_string_ids(spark):
