@@ -2,28 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bootstrap_mean(df: DataFrame, key: str, value: str, replicates: int, seed: int, level: float = 0.95) -> DataFrame:
-    """(mean, low, high): percentile interval of the mean, by Poisson counts of each row in each replicate.
+#: Draws that one SHA-1 gives: eight of five hexadecimal digits.
+_DRAWS, _DIGITS = 8, 5
+
+
+def poisson_steps() -> list[float]:
+    """The distribution function of the Poisson law of mean 1, from 0 to 8."""
+    return [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(9)]
 
-    A row's count in a replicate comes from a hash of seed, replicate and key, so rows never have to meet: each task
-    sums its rows for all replicates, and only the sums are shuffled.
+
+def bootstrap_means(df: DataFrame, by: list[str], item: str, value: str, replicates: int, seed: int, level: float = 0.95) -> DataFrame:
+    """(by, n, mean, low, high): the mean of value and its percentile interval over resampled items.
+
+    An item comes into a replicate as often as a Poisson draw of mean 1 says, from a hash of seed, item and replicate:
+    all groups of `by` share it, so differences and ranks stay paired, and rows never have to meet. A hash gives eight
+    draws; a row becomes one for each eight replicates inside its task and is summed there: what is shuffled is as many
+    rows as groups times replicates, however many rows there are. Rows without a value are left out; a replicate that
+    draws no item gives no mean.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), "replicate", key), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    # inverse of the Poisson(1) distribution function
-    steps, total, term = [], 0.0, 2.718281828459045**-1
-    for k in range(8):
-        total += term
-        steps.append(total)
-        term /= k + 1
-    n = sum(((u > s).cast("int") for s in steps[1:]), (u > steps[0]).cast("int"))
-    reps = df.where(F.col(value).isNotNull()).select(key, value, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).withColumn("n", n)
-    means = reps.groupBy("replicate").agg((F.sum(F.col("n") * F.col(value)) / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
+    if replicates < 1 or replicates % _DRAWS:
+        raise ValueError(f"replicates must be a multiple of {_DRAWS}")
+    steps = poisson_steps()
+    digest = F.sha1(F.concat_ws(":", F.lit(str(seed)), F.lit("boot"), F.col(item).cast("string"), F.col("block").cast("string")).cast("binary"))
+    rows = df.where(F.col(value).isNotNull()).select(*by, item, F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(replicates // _DRAWS - 1))).alias("block")).withColumn("h", digest)
+
+    def times(k: int):
+        u = (F.conv(F.substring("h", _DIGITS * k + 1, _DIGITS), 16, 10).cast("double") + 0.5) * F.lit(16.0**-_DIGITS)
+        return sum(((u > s).cast("int") for s in steps[1:]), (u > steps[0]).cast("int"))
+
+    rows = rows.select(*by, "block", "v", *[times(k).alias(f"t{k}") for k in range(_DRAWS)])
+    sums = rows.groupBy(*by, "block").agg(*[(F.sum(F.col("v") * F.col(f"t{k}")) / F.nullif(F.sum(f"t{k}"), F.lit(0))).alias(f"m{k}") for k in range(_DRAWS)])
+    means = sums.select(*by, F.explode(F.array(*[f"m{k}" for k in range(_DRAWS)])).alias("m"))
     q = F.percentile("m", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
-    return means.agg(q.alias("q")).crossJoin(df.agg(F.avg(value).alias("mean"))).select("mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    ranges = means.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(q.alias("q"))
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    plain = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    return plain.join(ranges, on or F.lit(True)).select(*by, "n", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+def bootstrap_mean(df: DataFrame, key: str, value: str, replicates: int, seed: int, level: float = 0.95) -> DataFrame:
+    """(mean, low, high) of all rows; see `bootstrap_means`."""
+    return bootstrap_means(df, [], key, value, replicates, seed, level).select("mean", "low", "high")
 
 
 def signed_rank(df: DataFrame, by: list[str], delta: str) -> DataFrame:
@@ -36,6 +61,61 @@ def signed_rank(df: DataFrame, by: list[str], delta: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"), plus.alias("w_plus"), minus.alias("w_minus"))
 
 
+def exact_signed_rank_p(n: Column, w: Column) -> Column:
+    """The two-sided p-value of a signed-rank sum w of n differences without ties: twice the smaller tail, 1 at most.
+
+    The number of sign patterns with each sum comes from a fold that adds one rank at a time: the counts so far, and
+    the same counts moved by the rank.
+    """
+    size = (n * (n + 1) / 2 + 1).cast("int")
+
+    def add(counts: Column, rank: Column) -> Column:
+        return F.transform(counts, lambda c, i: c + F.when(i >= rank, F.element_at(counts, (F.greatest(i - rank, F.lit(0)) + 1).cast("int"))).otherwise(0.0))
+
+    none = F.transform(F.sequence(F.lit(1), size), lambda i: F.when(i == 1, 1.0).otherwise(0.0))
+    counts = F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n.cast("int")), none, add))
+
+    def tail(keep) -> Column:
+        return F.aggregate(F.filter(counts, lambda c, i: keep(i)), F.lit(0.0), lambda a, c: a + c) / F.pow(F.lit(2.0), n)
+
+    return F.least(F.lit(1.0), 2 * F.least(tail(lambda i: i <= w), tail(lambda i: i >= w)))
+
+
+def signed_rank_test(df: DataFrame, by: list[str], delta: str, most_exact: int = 50) -> DataFrame:
+    """(by, n, statistic, p_value) of Wilcoxon's two-sided test; statistic is the smaller of both rank sums.
+
+    Up to `most_exact` differences without zeros or ties the p-value is exact; beyond, or with ties, it comes from the
+    normal law with the variance corrected for ties. Zero differences and nulls are left out; a group of nothing else
+    gives no row. Equal differences are counted first, so ranks are sums over distinct sizes.
+    """
+    sizes = df.where(f"{delta} <> 0").groupBy(*by, F.abs(delta).alias("__a")).agg(F.count("*").alias("__t"), F.sum(F.expr(f"CASE WHEN {delta} > 0 THEN 1 ELSE 0 END")).alias("__up"))
+    earlier = Window.partitionBy(*by).orderBy("__a").rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.coalesce(F.sum("__t").over(earlier), F.lit(0)) + (F.col("__t") + 1) / 2
+    t = F.col("__t").cast("double")
+    g = sizes.withColumn("__r", rank).groupBy(*by).agg(F.sum("__t").alias("n"), F.sum(F.col("__r") * F.col("__up")).alias("plus"), F.sum(F.col("__r") * (F.col("__t") - F.col("__up"))).alias("minus"), F.sum(t * t * t - t).alias("ties"))
+    n, w = F.col("n"), F.least("plus", "minus")
+    m = n.cast("double")
+    sd = F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("ties") / 48)
+    z = (w - m * (m + 1) / 4) / F.nullif(sd, F.lit(0.0))
+    near = F.least(F.lit(1.0), 2 * normal_below(z))
+    return g.select(*by, "n", w.alias("statistic"), F.when((n <= most_exact) & (F.col("ties") == 0), exact_signed_rank_p(n, w)).otherwise(near).alias("p_value"))
+
+
+def normal_below(z: Column) -> Column:
+    """The normal law's distribution function, z of any size: a continued fraction beyond 2.5, a series inside.
+
+    Right to about 1e-12 of its value.
+    """
+    x = F.abs(z)
+    density = F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+    # x + x^3/3 + x^5/(3*5) + ...
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(x.alias("sum"), x.alias("term")), lambda s, k: F.struct((s["sum"] + s["term"] * x * x / (2 * k + 1)).alias("sum"), (s["term"] * x * x / (2 * k + 1)).alias("term")))["sum"]
+    # x + 1/(x + 2/(x + 3/(x + ...)))
+    fraction = F.aggregate(F.sequence(F.lit(120), F.lit(1), F.lit(-1)), x, lambda s, k: x + k / s)
+    upper = F.when(x > 2.5, density / fraction).otherwise(0.5 - density * series)
+    return F.when(z <= 0, upper).otherwise(1 - upper)
+
+
 def calibration(df: DataFrame, predicted: str, actual: str, bins: int = 10) -> DataFrame:
     """Per quantile bin of the prediction: bin, n, mean_predicted, mean_actual, mae; equal edges make one bin."""
     cuts = [k / bins for k in range(1, bins)]

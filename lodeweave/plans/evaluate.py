@@ -293,35 +293,6 @@ def _(s, d):
     return _enc(s, d).select("p_partkey", ones.cast("long").alias("ones"), (F.size(mask) - ones).cast("long").alias("zeros"))
 
 
-def _masked(s, d, p=0.3, seed=5):
-    """Each eligible position is masked by the hash of seed, row and place: 80 % mask token, 10 % another id, 10 % as it is."""
-    def u(i, salt):
-        return (F.pmod(F.xxhash64("p_partkey", i, F.lit(seed + salt)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-
-    ids = _enc(s, d)
-    labels = F.transform("ids", lambda x, i: F.when(u(i, 0) < p, x).otherwise(-100))
-    other = F.transform("ids", lambda x, i: F.when(u(i, 0) >= p, x).when(u(i, 1) < 0.8, T.SPECIALS["<mask>"]).when(u(i, 1) < 0.9, (F.floor(u(i, 2) * len(_ENC_VOCAB)) + len(T.SPECIALS)).cast("int")).otherwise(x))
-    return ids.select("p_partkey", "ids", labels.alias("labels"), other.alias("inputs"))
-
-
-@_add("m01_bernoulli_mask", None)
-def _(s, d):
-    return _masked(s, d).select("p_partkey", _join(F.col("labels")).alias("labels"))
-
-
-@_add("m04_corruption", None)
-def _(s, d):
-    return _masked(s, d).select("p_partkey", _join(F.col("inputs")).alias("inputs"), _join(F.col("labels")).alias("labels"))
-
-
-@_add("m06_frozen_set", None)
-def _(s, d):
-    m = _masked(s, d)
-    n = F.size(F.filter("labels", lambda x: x != -100))
-    row = F.sha2(F.concat_ws("|", F.col("p_partkey").cast("string"), _join(F.col("inputs")), _join(F.col("labels"))), 256)
-    return m.agg(F.count("*").alias("n_rows"), F.sum(n).alias("masked"), F.round(F.sum(n) / F.sum(F.size("ids")), 6).alias("fraction"), F.sum(F.conv(F.substring(row, 1, 12), 16, 10).cast("long")).alias("fingerprint"))
-
-
 @_add("t17_mean_pooling", "SELECT vec_id, round(list_avg(embedding[1:32]), 6) AS first_half, round(list_avg(embedding), 6) AS whole FROM embeddings")
 def _(s, d):
     def mean(c):
@@ -330,11 +301,6 @@ def _(s, d):
     return _t(s, d, "embeddings").select("vec_id", F.round(mean(F.slice("embedding", 1, 32)), 6).alias("first_half"), F.round(mean(F.col("embedding")), 6).alias("whole"))
 
 
-@_add("g45_bootstrap_mean", None)
-def _(s, d):
-    return St.bootstrap_mean(_t(s, d, "events").select("event_id", "value"), "event_id", "value", 500, 3)
-
-
 @_add("g47_signed_rank", "SELECT event_type, count(*) AS n, round(sum(CASE WHEN delta > 0 THEN r ELSE 0 END), 6) AS w_plus, round(sum(CASE WHEN delta < 0 THEN r ELSE 0 END), 6) AS w_minus FROM (SELECT *, rank() OVER (PARTITION BY event_type ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY event_type, abs(delta)) - 1) / 2.0e0 AS r FROM (SELECT event_type, CAST(round(value * 100) AS BIGINT) - 1000 AS delta FROM events) WHERE delta <> 0) GROUP BY 1")
 def _(s, d):
     e = _t(s, d, "events").select("event_type", (F.round(F.col("value") * 100).cast("long") - 1000).alias("delta"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.plans import evaluate, prepare, report
+from lodeweave.plans import evaluate, learning, masking, prepare, report
 
-_MODULES = (report, prepare, evaluate)
+_MODULES = (report, prepare, evaluate, masking, learning)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
