@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeweave.functions.hashing import bucket, unit_interval
+from lodeweave.functions.hashing import bucket, draw, unit_interval
 
 
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -46,7 +46,7 @@ def in_validation(key: Column, buckets: int, below: int) -> Column:
 
 def sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows in the order of a seeded hash of their key: the same rows whatever the partitions. All if there are fewer."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return df.orderBy(draw(seed, "sample", key), key).limit(n)
 
 
 def split_overlap(df: DataFrame, key: str, splits: list[str], examples: int = 20) -> DataFrame:

@@ -116,6 +116,44 @@ def normal_below(z: Column) -> Column:
     return F.when(z <= 0, upper).otherwise(1 - upper)
 
 
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: list[float], parts: int = 64) -> DataFrame:
+    """(by, n, quantiles): exact percentiles of a group's values, between two values in proportion; nulls and NaN left out.
+
+    Equal values are counted first. A sketch of bounded size cuts each group's values into `parts` ranges of about as
+    many rows; counts of ranges are added up in order and values are sorted inside their range only, so no task sees all
+    values of a group. The sketch decides who sorts what, never what comes out.
+    """
+    names = [f"__{c}" for c in by]
+    v = F.col(value).cast("double")
+    kept = df.where(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("__v"))
+    cuts = F.percentile_approx("__v", [k / parts for k in range(1, parts)], 1000)
+    edges = kept.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)]).agg(F.count("*").alias("n"), cuts.alias("__edges"))
+    on = F.lit(True)
+    for c, n in zip(by, names, strict=True):
+        on = on & F.col(c).eqNullSafe(F.col(n))
+    counts = kept.groupBy(*by, "__v").agg(F.count("*").alias("__t"))
+    met = counts.join(edges, on).withColumn("__part", F.size(F.filter("__edges", lambda e: e < F.col("__v")))).drop("__edges", *names)
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    sizes = met.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.col("__part").alias("__of")).agg(F.sum("__t").alias("__s"))
+    before = sizes.select(*names, "__of", F.coalesce(F.sum("__s").over(earlier.partitionBy(*names).orderBy("__of")), F.lit(0)).alias("__before"))
+    on_part = F.col("__part") == F.col("__of")
+    for c, n in zip(by, names, strict=True):
+        on_part = on_part & F.col(c).eqNullSafe(F.col(n))
+    inside = F.sum("__t").over(Window.partitionBy(*by, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    upto = met.withColumn("__inside", inside).join(before, on_part).withColumn("__upto", F.col("__before") + F.col("__inside"))
+
+    def at(rank: Column) -> Column:  # the value at a place from 0
+        return F.min(F.when(F.col("__upto") > rank, F.col("__v")))
+
+    found = []
+    for p in probabilities:
+        rank = (F.col("n") - 1) * p
+        found += [at(F.floor(rank)), at(F.ceil(rank))]
+    held = upto.groupBy(*by, "n").agg(*[x.alias(f"__q{k}") for k, x in enumerate(found)])
+    between = [F.col(f"__q{2 * k}") + (F.col(f"__q{2 * k + 1}") - F.col(f"__q{2 * k}")) * ((F.col("n") - 1) * p - F.floor((F.col("n") - 1) * p)) for k, p in enumerate(probabilities)]
+    return held.select(*by, "n", F.array(*between).alias("quantiles"))
+
+
 def calibration(df: DataFrame, predicted: str, actual: str, bins: int = 10) -> DataFrame:
     """Per quantile bin of the prediction: bin, n, mean_predicted, mean_actual, mae; equal edges make one bin."""
     cuts = [k / bins for k in range(1, bins)]

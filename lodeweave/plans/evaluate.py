@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodeweave.functions import text
+from lodeweave.functions.hashing import draw, draw_sql
 from lodeweave.operators import metrics as M
 from lodeweave.operators import similarity as S
 from lodeweave.operators import statistics as St
 from lodeweave.operators import tokens as T
+from lodeweave.operators.order import placed
 
 QUERIES: dict = {}
 
@@ -280,12 +282,69 @@ def _(s, d):
     return T.vocabulary(s, T.train_merges(seqs, 40, 20, 4))
 
 
+@_add("t05_merge_frequencies", None)
+def _(s, d):
+    seqs = _brackets(s, d).select(F.col("p_partkey").alias("row_id"), text.pieces(F.concat("sequence", "sequence"), text.BRACKETED).alias("toks"))
+    return s.createDataFrame(list(T.train_merges_counted(seqs, 40, 20, 4).items()), "token string, frequency long")
+
+
 @_add("g41_token_stats", _ENC + "SELECT count(*) AS n, round(avg(len(ids)), 6) AS mean_len, max(len(ids)) AS max_len, round(count(*) FILTER (list_contains(ids, 3)) / count(*), 6) AS unk_rate FROM i")
 def _(s, d):
     n = F.size("ids")
     return _enc(s, d).agg(F.count("*").alias("n"), F.round(F.avg(n), 6).alias("mean_len"), F.max(n).cast("long").alias("max_len"), F.round(F.avg(F.array_contains("ids", 3).cast("int")), 6).alias("unk_rate"))
 
 
+_STATS = _ENC.rstrip() + """, f AS (
+  SELECT p_partkey, list_concat([0], list_concat(ids, [2])) AS ids FROM i),
+r AS (SELECT len(ids) AS n, least(len(ids), 6) AS l, list_filter(CASE WHEN len(ids) > 6 THEN list_concat(ids[1:5], ids[-1:]) ELSE ids END, lambda x: x NOT IN (0, 1, 2, 4)) AS e FROM f),
+s AS (SELECT l, row_number() OVER (ORDER BY l) - 1 AS k, count(*) OVER () AS m FROM r)"""
+
+
+def _framed(s, d):
+    return _enc(s, d).select("p_partkey", T.framed(F.col("ids")).alias("ids"))
+
+
+@_add("g41_tokenization_stats", _STATS + " SELECT count(*) AS sample_size, round(avg(l), 6) AS mean_len, (SELECT l::DOUBLE FROM s WHERE k = round_even((m - 1) * 0.5, 0)) AS p50_len, (SELECT l::DOUBLE FROM s WHERE k = round_even((m - 1) * 0.95, 0)) AS p95_len, (SELECT l::DOUBLE FROM s WHERE k = round_even((m - 1) * 0.99, 0)) AS p99_len, max(l)::DOUBLE AS max_len, round(avg((n > 6)::INT), 6) AS truncation_rate, round(sum(len(list_filter(e, lambda x: x = 3))) / sum(len(e)), 6) AS unk_rate, 0e0 AS empty_sequence_rate, round(avg((len(list_filter(e, lambda x: x = 3)) > 0.8 * len(e))::INT), 6) AS mostly_unknown_rate FROM r")
+def _(s, d):
+    out = T.token_statistics(_framed(s, d), "ids", 6)
+    rates = ("mean_len", "truncation_rate", "unk_rate", "empty_sequence_rate", "mostly_unknown_rate")
+    return out.select(*[F.round(c, 6).alias(c) if c in rates else F.col(c) for c in out.columns])
+
+
+@_add("t15_quality_gates", _STATS + ", u AS (SELECT sum(len(list_filter(e, lambda x: x = 3))) / sum(len(e)) AS unk, avg((n > 6)::INT) AS cut, avg((len(list_filter(e, lambda x: x = 3)) > 0.8 * len(e))::INT) AS mostly FROM r) SELECT * FROM (SELECT 'vocabulary_size' AS gate, 12e0 AS value, 100e0 AS allowed, 'error' AS severity, false AS passed UNION ALL SELECT 'special_ids', 0e0, 0e0, 'error', true UNION ALL SELECT 'sha256', 1e0, 0e0, 'error', false UNION ALL SELECT 'bracketed', 1e0, 0.95e0, 'error', true UNION ALL SELECT 'unk_rate', round(unk, 6), 0.001e0, 'error', unk <= 0.001 FROM u UNION ALL SELECT 'empty_sequence_rate', 0e0, 0e0, 'error', true UNION ALL SELECT 'mostly_unknown_rate', round(mostly, 6), 0.01e0, 'error', mostly <= 0.01 FROM u UNION ALL SELECT 'truncation_rate', round(cut, 6), 0.05e0, 'warning', cut <= 0.05 FROM u)")
+def _(s, d):
+    vocab = T.vocabulary(s, _ENC_VOCAB)
+    gates = T.quality_gates(T.token_statistics(_framed(s, d), "ids", 6), vocab, _brackets(s, d), "sequence", "0a", "0b")
+    return gates.withColumn("value", F.round("value", 6))
+
+
+@_add("t08_patched_vocabulary", _BR + ", v AS (SELECT token, (row_number() OVER () + 4)::INTEGER AS id FROM (SELECT unnest(['" + "', '".join(_ENC_VOCAB) + "']) AS token)), old AS (SELECT * FROM v UNION ALL SELECT * FROM (VALUES ('<s>', 0), ('<pad>', 1), ('</s>', 2), ('<unk>', 3), ('<mask>', 4))), n AS (SELECT DISTINCT unnest(regexp_extract_all(sequence, '\\[[^\\]]+\\]')) AS token FROM b) SELECT token, id, false AS added FROM old UNION ALL SELECT token, (11 + row_number() OVER (ORDER BY token))::INT, true FROM n WHERE token NOT IN (SELECT token FROM old)")
+def _(s, d):
+    symbols = _brackets(s, d).select(F.explode(text.pieces(F.col("sequence"), text.BRACKETED)).alias("token"))
+    return T.patched(T.vocabulary(s, _ENC_VOCAB), symbols)
+
+
+@_add("t18_compared_vocabularies", "WITH a AS (SELECT p_brand AS token, min(p_size) AS id FROM part GROUP BY 1), b AS (SELECT p_brand AS token, min(p_size) AS id FROM part WHERE p_size > 1 AND p_brand <> 'Brand#11' GROUP BY 1 UNION ALL SELECT p_type, min(p_size) FROM part GROUP BY 1) SELECT token, a.id AS id_a, b.id AS id_b, CASE WHEN b.token IS NULL THEN 'only_a' WHEN a.token IS NULL THEN 'only_b' ELSE 'other_id' END AS status FROM a FULL JOIN b USING (token) WHERE a.token IS NULL OR b.token IS NULL OR a.id <> b.id")
+def _(s, d):
+    p = _t(s, d, "part")
+    a = p.groupBy(F.col("p_brand").alias("token")).agg(F.min("p_size").alias("id"))
+    b = p.where("p_size > 1 AND p_brand <> 'Brand#11'").groupBy(F.col("p_brand").alias("token")).agg(F.min("p_size").alias("id"))
+    return T.compared(a, b.unionByName(p.groupBy(F.col("p_type").alias("token")).agg(F.min("p_size").alias("id"))))
+
+
+@_add("t10_detokenised", _ENC + "SELECT p_partkey, coalesce(list_aggregate(list_transform(list_filter(ids, lambda x: x <> 3), lambda x: (['" + "', '".join(_ENC_VOCAB) + "'])[x - 4]), 'string_agg', ''), '') AS sequence FROM i")
+def _(s, d):
+    vocab = {t: i for i, t in enumerate([*T.SPECIALS, *_ENC_VOCAB])}
+    return _enc(s, d).select("p_partkey", T.detokenised(F.col("ids"), vocab).alias("sequence"))
+
+
+@_add("t13_padded_batches", _ENC + ", f AS (SELECT p_partkey, p_partkey // 10 AS batch, list_concat([0], list_concat(ids, list_concat([2], list_concat(ids[1:1], [2])))) AS ids FROM i), m AS (SELECT batch, ceil(max(len(ids)) / 4) * 4 AS target FROM f GROUP BY 1) SELECT p_partkey, array_to_string(list_concat(list_transform(range((target - len(ids))::BIGINT), lambda x: 1), ids), ',') AS ids, array_to_string(list_concat(list_transform(range((target - len(ids))::BIGINT), lambda x: -100), ids), ',') AS labels FROM f JOIN m USING (batch)")
+def _(s, d):
+    pairs = _enc(s, d).select("p_partkey", F.floor(F.col("p_partkey") / 10).alias("batch"), T.framed(F.col("ids"), F.slice("ids", 1, 1)).alias("ids")).withColumn("labels", F.col("ids"))
+    out = T.padded_batches(pairs, "batch", labels="labels", multiple=4, left=True)
+    return out.select("p_partkey", _join(F.col("ids")).alias("ids"), _join(F.col("labels")).alias("labels"))
+
+
 @_add("m05_attention_mask", _ENC + "SELECT p_partkey, len(ids) AS ones, (6 - len(ids))::BIGINT AS zeros FROM i")
 def _(s, d):
     mask = F.transform(T.padded(F.col("ids"), F.lit(6)), lambda x: (x != 1).cast("int"))
@@ -326,9 +385,9 @@ def _(s, d):
     return St.quotas(_t(s, d, "documents").groupBy("source").agg(F.count("*").alias("size")), "source", "size", 100)
 
 
-@_add("o10_stratified_sample", None)
+@_add("o10_stratified_sample", QUERIES["w11_quotas"][1].rsplit("SELECT", 1)[0] + f", q AS (SELECT {QUERIES['w11_quotas'][1].rsplit('SELECT', 1)[1]}), r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {draw_sql(13, 'sample', 'doc_id')}, doc_id) AS k FROM documents) SELECT r.source, doc_id FROM r JOIN q USING (source) WHERE k <= quota")
 def _(s, d):
     docs = _t(s, d, "documents").select("doc_id", "source")
     q = St.quotas(docs.groupBy("source").agg(F.count("*").alias("size")), "source", "size", 100)
-    place = F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id"))
-    return docs.withColumn("place", place).join(F.broadcast(q), "source").where("place <= quota").select("source", "doc_id")
+    u = draw(13, "sample", "doc_id")
+    return placed(docs, ["source"], u, ["doc_id"]).join(F.broadcast(q), "source").where("place < quota").select("source", "doc_id")

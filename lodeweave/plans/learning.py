@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.functions.hashing import draw, draw_sql
 from lodeweave.operators import heads as H
+from lodeweave.operators import kernels as K
 from lodeweave.operators import reporting as R
 from lodeweave.operators import splits as Sp
 from lodeweave.operators import statistics as St
@@ -153,9 +154,9 @@ def _(s, d):
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
-@_add("g45_paired_bootstrap", report._WITH + f", pairs AS (SELECT a.dataset, a.embedder AS model_a, b.embedder AS model_b, a.score - b.score AS delta FROM best a JOIN best b ON a.dataset = b.dataset AND a.embedder < b.embedder), vals AS (SELECT dataset AS item, [model_a, model_b] AS g, delta AS v FROM pairs), {_BOOT} SELECT g[1] AS model_a, g[2] AS model_b, count(*) AS n_tasks, count(*) FILTER (v > 0) AS wins, count(*) FILTER (v = 0) AS ties, count(*) FILTER (v < 0) AS losses, round(100 * avg(v), 5) AS mean_delta, round(100 * any_value(low), 5) AS ci_low, round(100 * any_value(high), 5) AS ci_high FROM vals JOIN cis USING (g) GROUP BY g")
+@_add("g45_paired_bootstrap", report._WITH + f", pairs AS (SELECT a.dataset, a.embedder AS model_a, b.embedder AS model_b, a.merit - b.merit AS delta FROM best a JOIN best b ON a.dataset = b.dataset AND a.embedder < b.embedder), vals AS (SELECT dataset AS item, [model_a, model_b] AS g, delta AS v FROM pairs), {_BOOT} SELECT g[1] AS model_a, g[2] AS model_b, count(*) AS n_tasks, count(*) FILTER (v > 0) AS wins, count(*) FILTER (v = 0) AS ties, count(*) FILTER (v < 0) AS losses, round(100 * avg(v), 5) AS mean_delta, round(100 * any_value(low), 5) AS ci_low, round(100 * any_value(high), 5) AS ci_high FROM vals JOIN cis USING (g) GROUP BY g")
 def _(s, d):
-    pairs = R.model_pairs(report.best(s, d), "dataset", "embedder", "score").where("model_a < model_b").withColumn("delta", F.col("value_a") - F.col("value_b"))
+    pairs = R.model_pairs(report.best(s, d), "dataset", "embedder", "merit").where("model_a < model_b").withColumn("delta", F.col("value_a") - F.col("value_b"))
     v = F.col("delta")
     n = pairs.groupBy("model_a", "model_b").agg(F.sum((v > 0).cast("long")).alias("wins"), F.sum((v == 0).cast("long")).alias("ties"), F.sum((v < 0).cast("long")).alias("losses"))
     ci = St.bootstrap_means(pairs, ["model_a", "model_b"], "dataset", "delta", _REPLICATES, 3)
@@ -192,3 +193,60 @@ def _(s, d):
     by = ["c_nationkey", "c_mktsegment"]
     c = _t(s, d, "customer").select(*by, (F.round(F.col("c_acctbal") * 100).cast("long") - 450000).alias("delta"))
     return St.signed_rank_test(c, by, "delta").withColumn("p_value", F.round("p_value", 9))
+
+
+# counts over vectors; the similarity of two of them
+_COUNTS = "list_transform(embedding, lambda x: floor(abs(x) * 20)::DOUBLE)"
+_ALIKE = "coalesce(list_sum(list_transform(list_zip({a}, {b}), lambda p: least(p[1], p[2]))) / nullif(list_sum(list_transform(list_zip({a}, {b}), lambda p: greatest(p[1], p[2]))), 0), 0)"
+
+
+def _counts(s, d):
+    counts = F.transform("embedding", lambda x: F.floor(F.abs(x) * 20).cast("double"))
+    return _t(s, d, "embeddings").select("vec_id", counts.alias("x"), F.col("label").cast("double").alias("y"), (1 + F.col("vec_id") % 3).alias("noise"))
+
+
+@_add("h11_kernel_ridge", None)
+def _(s, d):
+    rows = _counts(s, d)
+    train = rows.where("vec_id % 10 <> 0")
+    marks = K.landmarks(train, "vec_id", "x", draw(3, "landmark", "vec_id"), 256)
+    model = K.kernel_ridge(train, "vec_id", "x", "y", "noise", 2.0, marks)
+    return rows.where("vec_id % 10 = 0").select("vec_id", F.round(K.predicted(F.col("x"), model, 0.0, 9.0), 6).alias("predicted"))
+
+
+@_add("h13_neighbourhood_cv", None)
+def _(s, d):
+    rows = _counts(s, d)
+    marks = K.landmarks(rows, "vec_id", "x", draw(3, "landmark", "vec_id"), 128)
+    found = K.neighbourhood_cv(rows, "vec_id", "x", "y", "noise", [0.5, 2.0, 8.0], marks, marks.keys[:16], 0.45)
+    return s.createDataFrame([(p, round(a, 6), round(b, 6), n) for p, a, b, n in found], "penalty double, mean_mae double, worst_mae double, n_folds int")
+
+
+_OFFSETS = f"""
+WITH e AS (SELECT vec_id, {_COUNTS} AS x, label - 4.5e0 AS r FROM embeddings),
+a AS (SELECT vec_id AS anchor, x AS z FROM e ORDER BY {draw_sql(9, "anchor", "vec_id")}, vec_id::VARCHAR LIMIT 8),
+n AS (SELECT anchor, r FROM e, a WHERE {_ALIKE.format(a="x", b="z")} >= 0.45)
+SELECT anchor, count(*) AS n, round(count(*) / (count(*) + 5e0) * median(r), 6) AS "offset" FROM n GROUP BY 1 HAVING count(*) >= 2"""
+
+
+@_add("h15_cluster_offsets", _OFFSETS)
+def _(s, d):
+    rows = _counts(s, d).withColumn("r", F.col("y") - 4.5)
+    anchors = K.landmarks(rows, "vec_id", "x", draw(9, "anchor", "vec_id"), 8)
+    found = K.cluster_offsets(rows, "x", "r", anchors, 0.45, 5.0)
+    return s.createDataFrame([(int(k), n, round(o, 6)) for k, (n, o) in found.items()], "anchor long, n long, offset double")
+
+
+_WEIGHTS = [0.0, 0.25, 0.5, 0.75, 1.0]
+
+
+@_add("h14_blend_weights", "SELECT weight, round(avg(abs(weight * l_quantity * 1500 + (1 - weight) * (30000 + l_tax * 100000) - l_extendedprice)), 4) AS mae FROM lineitem, (VALUES (0e0), (0.25e0), (0.5e0), (0.75e0), (1e0)) t(weight) GROUP BY 1")
+def _(s, d):
+    out = K.blend_errors(_t(s, d, "lineitem"), F.col("l_quantity") * 1500, 30000 + F.col("l_tax") * 100000, F.col("l_extendedprice"), _WEIGHTS)
+    return out.select("weight", F.round("mae", 4).alias("mae"))
+
+
+@_add("h14_huber_calibration", None)
+def _(s, d):
+    line = K.huber_line(_t(s, d, "events"), F.col("user_id"), F.col("value"))
+    return s.createDataFrame([(round(line.slope, 6), round(line.intercept, 5), round(line.scale, 5))], "slope double, intercept double, scale double")

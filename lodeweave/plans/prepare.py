@@ -385,11 +385,11 @@ def _(s, d):
     return _t(s, d, "events").agg(F.count("*").alias("n_rows"), F.sum(bad.cast("long")).alias("bad_values"), (F.count("*") - F.countDistinct("event_id")).alias("repeated_names"))
 
 
-@_add("o07_seeded_order", None)
+@_add("o07_seeded_order", f"SELECT doc_id, lang FROM documents ORDER BY {hashing.draw_sql(13, 'sample', 'doc_id')}, doc_id LIMIT 200")
 def _(s, d):
     return C.sample(_t(s, d, "documents").select("doc_id", "lang"), "doc_id", 200, 13)
 
 
-@_add("o09_seeded_sample", None)
+@_add("o09_seeded_sample", f"SELECT p_partkey FROM part ORDER BY {hashing.draw_sql(7, 'sample', 'p_partkey')}, p_partkey LIMIT 64")
 def _(s, d):
     return C.sample(_t(s, d, "part").select("p_partkey"), "p_partkey", 64, 7)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.plans import evaluate, learning, masking, prepare, report
+from lodeweave.plans import evaluate, files, learning, masking, prepare, report, runs
 
-_MODULES = (report, prepare, evaluate, masking, learning)
+_MODULES = (report, prepare, evaluate, masking, learning, runs, files)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

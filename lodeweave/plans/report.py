@@ -19,7 +19,7 @@ SELECT concat('ds', l_suppkey % 25) AS dataset,
        sum(CAST(round(l_tax * 100) AS BIGINT)) / (count(*) * 8e0) AS test_metric
 FROM lineitem GROUP BY 1, 2, 3, 4, 5, 7
 """
-_WITH = f"WITH results AS ({RESULTS}), best AS (SELECT dataset, embedder, max(test_metric) AS score FROM results GROUP BY 1, 2) "
+_WITH = f"WITH results AS ({RESULTS}), best AS (SELECT dataset, embedder, abs(merit) AS score, merit FROM (SELECT dataset, embedder, max(CASE WHEN test_metric_name = 'rmse' THEN -test_metric ELSE test_metric END) AS merit FROM results GROUP BY 1, 2)) "
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,14 +28,17 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results(spark, sf_dir).groupBy("dataset", "embedder").agg(F.max("test_metric").alias("score"))
+    """Each embedder's best head on each dataset by the direction of its metric: score as it is, merit larger if better."""
+    merit = F.max(R.direction(F.col("test_metric_name")) * F.col("test_metric")).alias("merit")
+    # all scores are 0 or above
+    return results(spark, sf_dir).groupBy("dataset", "embedder").agg(merit).select("dataset", "embedder", F.abs("merit").alias("score"), "merit")
 
 
-def _ranked(df: DataFrame, value: str = "score") -> DataFrame:
+def _ranked(df: DataFrame, value: str = "merit") -> DataFrame:
     return df.withColumn("place", R.average_rank(F.col(value), "dataset"))
 
 
-_RANK = "rank() OVER (PARTITION BY dataset ORDER BY score DESC) + (count(*) OVER (PARTITION BY dataset, score) - 1) / 2.0e0"
+_RANK = "rank() OVER (PARTITION BY dataset ORDER BY merit DESC) + (count(*) OVER (PARTITION BY dataset, merit) - 1) / 2.0e0"
 
 
 def _r(name: str, digits: int = 6):
@@ -49,10 +52,10 @@ def _leader(s, d):
 
 
 def _pairs(s, d):
-    return R.model_pairs(best(s, d), "dataset", "embedder", "score")
+    return R.model_pairs(best(s, d), "dataset", "embedder", "merit")
 
 
-_PAIRS = ", pairs AS (SELECT a.dataset, a.embedder AS model_a, b.embedder AS model_b, a.score AS value_a, b.score AS value_b FROM best a JOIN best b USING (dataset) WHERE a.embedder <> b.embedder) "
+_PAIRS = ", pairs AS (SELECT a.dataset, a.embedder AS model_a, b.embedder AS model_b, a.merit AS value_a, b.merit AS value_b FROM best a JOIN best b USING (dataset) WHERE a.embedder <> b.embedder) "
 _OUT = "count(*) AS n, sum((value_a - value_b > {t})::BIGINT)::BIGINT AS wins, sum((value_a - value_b < -{t})::BIGINT)::BIGINT AS losses, sum((abs(value_a - value_b) <= {t})::BIGINT)::BIGINT AS ties"
 
 #: name: (query, SQL)
@@ -124,9 +127,9 @@ def _(s, d):
     return best(s, d).withColumn("base", base).where("base IS NOT NULL").select("dataset", "embedder", F.round(F.col("score") - F.col("base"), 6).alias("over_baseline"))
 
 
-@_add("j08_near_wins", _WITH + "SELECT dataset, embedder, round(top - score, 6) AS gap FROM (SELECT *, max(score) OVER (PARTITION BY dataset) AS top FROM best) WHERE top - score <= 0.02")
+@_add("j08_near_wins", _WITH + "SELECT dataset, embedder, round(top - merit, 6) AS gap FROM (SELECT *, max(merit) OVER (PARTITION BY dataset) AS top FROM best) WHERE top - merit <= 0.02")
 def _(s, d):
-    return R.with_group_max(best(s, d), ["dataset"], "score", "top").where("top - score <= 0.02").select("dataset", "embedder", F.round(F.col("top") - F.col("score"), 6).alias("gap"))
+    return R.with_group_max(best(s, d), ["dataset"], "merit", "top").where("top - merit <= 0.02").select("dataset", "embedder", F.round(F.col("top") - F.col("merit"), 6).alias("gap"))
 
 
 @_add("j09_key_merge", "SELECT c_custkey, c_name, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey")
@@ -209,15 +212,15 @@ def _(s, d):
     return R.best_by_test(results(s, d)).select("dataset", "embedder", "model", _r("test_metric"))
 
 
-@_add("g12_collapse_variants", _WITH + "SELECT dataset, base, round(max(score), 6) AS score FROM (SELECT dataset, score, regexp_replace(concat(CASE WHEN embedder < 'emb3' THEN 'small' ELSE 'base' END, '_[', embedder, ']'), '_?\\[[^\\]]+\\]', '', 'g') AS base FROM best) GROUP BY 1, 2")
+@_add("g12_collapse_variants", _WITH + "SELECT dataset, base, round(abs(max(merit)), 6) AS score FROM (SELECT dataset, merit, regexp_replace(concat(CASE WHEN embedder < 'emb3' THEN 'small' ELSE 'base' END, '_[', embedder, ']'), '_?\\[[^\\]]+\\]', '', 'g') AS base FROM best) GROUP BY 1, 2")
 def _(s, d):
     named = best(s, d).withColumn("base", F.concat(F.when(F.col("embedder") < "emb3", "small").otherwise("base"), F.lit("_["), "embedder", F.lit("]")))
-    return R.collapse_variants(named, "base", ["dataset"], "score").select("dataset", "base", _r("score"))
+    return R.collapse_variants(named, "base", ["dataset"], "merit").select("dataset", "base", F.round(F.abs("merit"), 6).alias("score"))
 
 
-@_add("g13_dataset_winner", _WITH + "SELECT dataset, arg_max(embedder, (score, embedder)) AS winner, count(DISTINCT embedder) AS competitors FROM best GROUP BY 1")
+@_add("g13_dataset_winner", _WITH + "SELECT dataset, arg_max(embedder, (merit, embedder)) AS winner, count(DISTINCT embedder) AS competitors FROM best GROUP BY 1")
 def _(s, d):
-    return best(s, d).groupBy("dataset").agg(F.max_by("embedder", F.struct("score", "embedder")).alias("winner"), F.countDistinct("embedder").alias("competitors"))
+    return best(s, d).groupBy("dataset").agg(F.max_by("embedder", F.struct("merit", "embedder")).alias("winner"), F.countDistinct("embedder").alias("competitors"))
 
 
 @_add("g14_group_argmin", _WITH + "SELECT embedder, model, arg_min(dataset, (test_metric, dataset)) AS lowest FROM results GROUP BY 1, 2")
@@ -274,12 +277,12 @@ def _(s, d):
     return _pairs(s, d).groupBy("model_a", "model_b").agg(F.round(F.avg(F.signum(F.col("value_a") - F.col("value_b"))), 6).alias("rate"))
 
 
-@_add("g24_overperformance", _WITH + "SELECT b.dataset, round(count(*) FILTER (b.score > z.score) / (SELECT count(DISTINCT embedder) FROM best), 6) AS share FROM best b JOIN best z ON z.dataset = b.dataset AND z.embedder = 'emb0' GROUP BY 1")
+@_add("g24_overperformance", _WITH + "SELECT b.dataset, round(count(*) FILTER (b.merit > z.merit) / (SELECT count(DISTINCT embedder) FROM best), 6) AS share FROM best b JOIN best z ON z.dataset = b.dataset AND z.embedder = 'emb0' GROUP BY 1")
 def _(s, d):
     b = best(s, d)
-    base = F.max(F.when(F.col("embedder") == "emb0", F.col("score"))).over(Window.partitionBy("dataset"))
+    base = F.max(F.when(F.col("embedder") == "emb0", F.col("merit"))).over(Window.partitionBy("dataset"))
     n = b.agg(F.countDistinct("embedder").alias("models"))
-    over = b.withColumn("base", base).where("base IS NOT NULL").groupBy("dataset").agg(F.sum((F.col("score") > F.col("base")).cast("long")).alias("n"))
+    over = b.withColumn("base", base).where("base IS NOT NULL").groupBy("dataset").agg(F.sum((F.col("merit") > F.col("base")).cast("long")).alias("n"))
     return over.crossJoin(F.broadcast(n)).select("dataset", F.round(F.col("n") / F.col("models"), 6).alias("share"))
 
 
@@ -320,9 +323,9 @@ def _(s, d):
     return results(s, d).select("dataset", "model", "embedder", R.average_rank(F.col("test_metric"), "dataset", "model").alias("place"))
 
 
-@_add("w03_dense_ordinal", _WITH + "SELECT dataset, embedder, row_number() OVER (PARTITION BY dataset ORDER BY score DESC, embedder) AS ordinal FROM best")
+@_add("w03_dense_ordinal", _WITH + "SELECT dataset, embedder, row_number() OVER (PARTITION BY dataset ORDER BY merit DESC, embedder) AS ordinal FROM best")
 def _(s, d):
-    return best(s, d).select("dataset", "embedder", F.row_number().over(Window.partitionBy("dataset").orderBy(F.desc("score"), "embedder")).cast("long").alias("ordinal"))
+    return best(s, d).select("dataset", "embedder", F.row_number().over(Window.partitionBy("dataset").orderBy(F.desc("merit"), "embedder")).cast("long").alias("ordinal"))
 
 
 @_add("w04_equal_to_group_max", _WITH + "SELECT dataset, embedder, model FROM (SELECT *, max(test_metric) OVER (PARTITION BY dataset) AS top FROM results) WHERE test_metric = top")
