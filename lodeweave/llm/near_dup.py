@@ -316,28 +316,45 @@ def _links_inside(nodes: np.ndarray, labels: np.ndarray, first: np.ndarray, seco
     return out
 
 
+def dealt_to_blocks(state: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, block, odd, role, node, label, text): the members of open buckets, dealt so that links between labels are found; and the written table it reads.
+
+    A link between labels has an end outside the bucket's most frequent label: an odd member. Members are dealt to
+    blocks, in role 0, and odd members are dealt to blocks of their own, in role 1; each block of the one meets each
+    block of the other. So rows number as members times blocks of odd members and odd members times blocks: with few odd
+    members about as many as members, however many these are.
+    """
+    by_label = state.groupBy("key", "label").agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in (1, 2)])
+    several = by_label.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("most"), *[F.bit_xor(f"mark{k}").alias(f"mark{k}") for k in (1, 2)])
+    # two members have been compared; buckets with the same members hold the same pairs
+    several = several.where("n > 2 AND labels > 1").groupBy("n", "mark1", "mark2").agg(F.min(F.struct("key", "most")).alias("first")).select("first.key", "first.most")
+    odd = F.col("label") != F.col("most")
+    open_ = written(state.join(several, "key").select("key", "node", "label", odd.alias("is_odd")).join(texts, "node").select("key", "node", "label", "is_odd", "text"), "open")
+
+    def number(of) -> Column:
+        size = F.octet_length("text")
+        return F.greatest(F.lit(1), F.ceil(F.sum(F.when(of, 1)) / BLOCK), F.ceil(F.sum(F.when(of, size)) / BLOCK_BYTES)).cast("int")
+
+    blocks = open_.groupBy("key").agg(number(F.lit(True)).alias("blocks"), number(F.col("is_odd")).alias("odds"))
+    rows = open_.join(blocks, "key").withColumn("own", F.xxhash64("node"))
+    members = rows.select("key", F.pmod("own", F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("odds") - 1)).alias("odd"), F.lit(0).alias("role"), "node", "label", "text")
+    others = rows.where("is_odd").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod("own", F.col("odds")).cast("int").alias("odd"), F.lit(1).alias("role"), "node", "label", "text")
+    return members.union(others), open_
+
+
 def resolved(state: DataFrame, texts: DataFrame, idf: Idf, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between labels, from all pairs of members in each bucket that holds several. state: (key, node, label)."""
+    """Links (a, b) between labels, from the pairs of members with different labels in each bucket that holds several. state: (key, node, label)."""
     shared = state.sparkSession.sparkContext.broadcast(idf)
-    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in (1, 2)]
-    several = state.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"), *marks)
-    # two members have been compared; buckets with the same members hold the same pairs
-    several = several.where("n > 2 AND least <> most").groupBy("n", "mark1", "mark2").agg(F.min("key").alias("key")).select("key")
-    open_ = state.join(several, "key", "left_semi").join(texts, "node")
-    open_ = written(open_.select("key", "node", "label", "text"), "open")
-    blocks = open_.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    dealt = open_.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "label", "text")
+    dealt, open_ = dealt_to_blocks(state, texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         group, held = None, []
 
         def found() -> Iterator[pa.RecordBatch]:
-            block, node, label = (np.concatenate([p.column(k).to_numpy() for p in held]) for k in (3, 4, 5))
+            role, node, label = (np.concatenate([p.column(k).to_numpy() for p in held]) for k in (3, 4, 5))
             texts = [t for p in held for t in p.column(6).to_pylist()]
-            pairs = _links_inside(node, label, block == group[1], block == group[2], texts, table, similarity)
+            pairs = _links_inside(node, label, role == 1, role == 0, texts, table, similarity)
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -356,7 +373,7 @@ def resolved(state: DataFrame, texts: DataFrame, idf: Idf, similarity: float = S
         if held:
             yield from found()
 
-    ordered = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    ordered = dealt.repartition("key", "block", "odd").sortWithinPartitions("key", "block", "odd")
     links = written(ordered.mapInArrow(run, "a long, b long"), "between")
     dropped(open_)
     return links
