@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeweave.functions.hashing import bucket, draw, unit_interval
+from lodeweave.operators.lineage import cut
 
 
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -50,17 +51,58 @@ def sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 
 def split_overlap(df: DataFrame, key: str, splits: list[str], examples: int = 20) -> DataFrame:
-    """For each two splits how many keys they share, and the first of them."""
+    """For each two splits how many keys they share, and the first of them, in one pass over df."""
     held = df.groupBy(key).agg(*[F.max((F.col("split") == s).cast("int")).alias(s) for s in splits])
-    out = []
-    for a, b in combinations(splits, 2):
-        both = held.where(f"{a} = 1 AND {b} = 1")
-        first = both.orderBy(key).limit(examples).agg(F.array_join(F.sort_array(F.collect_list(F.col(key).cast("string"))), ",").alias("first_keys"))
-        out.append(both.agg(F.count("*").alias("shared")).crossJoin(first).select(F.lit(a).alias("split_a"), F.lit(b).alias("split_b"), "shared", "first_keys"))
-    union = out[0]
-    for x in out[1:]:
-        union = union.unionByName(x)
-    return union
+    both = [F.when((F.col(a) == 1) & (F.col(b) == 1), F.struct(F.lit(a).alias("split_a"), F.lit(b).alias("split_b"))) for a, b in combinations(splits, 2)]
+    shared = held.select(key, F.explode(F.filter(F.array(*both), lambda p: p.isNotNull())).alias("p")).select(key, "p.*")
+    place = F.row_number().over(Window.partitionBy("split_a", "split_b").orderBy(key))
+    # a limit on row_number cuts each partition to the first keys before the exchange
+    first = shared.withColumn("__place", place).where(F.col("__place") <= examples)
+    first = first.groupBy("split_a", "split_b").agg(F.array_join(F.sort_array(F.collect_list(F.col(key).cast("string"))), ",").alias("first_keys"))
+    n = shared.groupBy("split_a", "split_b").agg(F.count("*").alias("shared")).join(first, ["split_a", "split_b"])
+    every = df.sparkSession.createDataFrame(list(combinations(splits, 2)), "split_a string, split_b string")
+    return every.join(n, ["split_a", "split_b"], "left").select("split_a", "split_b", F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce("first_keys", F.lit("")).alias("first_keys"))
+
+
+def require_splits(df: DataFrame, splits: tuple[str, ...] = ("train", "valid", "test")) -> DataFrame:
+    """df, or an error that names the splits without a row: one count of the splits."""
+    there = {r["split"] for r in df.groupBy("split").count().collect()}
+    if missing := [s for s in splits if s not in there]:
+        raise ValueError(f"empty splits: {', '.join(missing)}")
+    return df
+
+
+def canonical(df: DataFrame, names: dict[str, list[str]]) -> DataFrame:
+    """Columns of the names given, each the first filled one of its aliases that df has, without regard to case; other columns stay.
+
+    A name without any of its aliases is an error. Blank text counts as not filled.
+    """
+    own = {c.lower(): c for c in df.columns}
+    found = {name: [own[a.lower()] for a in dict.fromkeys([name, *aliases]) if a.lower() in own] for name, aliases in names.items()}
+    if missing := [n for n, f in found.items() if not f]:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    used = {c for f in found.values() for c in f}
+
+    def filled(c: str) -> Column:
+        return F.when(F.trim(F.col(c)) != "", F.col(c)) if df.schema[c].dataType.simpleString() == "string" else F.col(c)
+
+    return df.select(*[F.coalesce(*[filled(c) for c in f]).alias(n) for n, f in found.items()], *[c for c in df.columns if c not in used])
+
+
+def numbered(df: DataFrame, order: list[Column], out: str = "place") -> DataFrame:
+    """df with `out`: each row's place, from 1, in an order of all rows, ties in no fixed order.
+
+    Rows are dealt to range partitions, which are kept, so that their sizes and their rows are of one dealing; places are
+    summed up over partitions and counted inside them: no task sees all rows.
+    """
+    keys = [f"__o{k}" for k in range(len(order))]
+    rows = df.withColumns(dict(zip(keys, order, strict=True)))
+    parts = cut(rows.repartitionByRange(max(2, df.sparkSession.sparkContext.defaultParallelism), *keys).withColumn("__part", F.spark_partition_id()))
+    sizes = parts.groupBy(F.col("__part").alias("__of")).agg(F.count("*").alias("__n"))
+    # one row a partition
+    before = sizes.select("__of", F.coalesce(F.sum("__n").over(Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
+    return parts.withColumn("__in", inside).join(F.broadcast(before), F.col("__part") == F.col("__of")).select(*df.columns, (F.col("__before") + F.col("__in")).cast("long").alias(out))
 
 
 def row_slices(df: DataFrame, order: str, shards: int) -> DataFrame:

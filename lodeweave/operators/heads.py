@@ -372,3 +372,20 @@ def forest_grid(df: DataFrame, features: str, labels: list[str], leaves: list[in
         return chosen, scores[chosen], {y: fitted(j, chosen, ALL) for j, y in enumerate(labels)}
     finally:
         data.unpersist()
+
+
+def head(name: str, task: str):
+    """The fitting function of a head: logistic or ridge for `ridge`, by task, and the forest for `rf`; unknown ones are an error.
+
+    Nearest neighbours have nothing to fit: they are `similarity.nearest`. They are refused for data sets of many
+    endpoints (`knn_allowed`).
+    """
+    known = {("ridge", "classification"): logistic_grid, ("ridge", "regression"): ridge_grid, ("rf", "classification"): forest_grid}
+    if (name, task) not in known:
+        raise ValueError(f"no head {name} for {task}")
+    return known[name, task]
+
+
+def knn_allowed(dataset: str) -> bool:
+    """Fixed value: the one data set for which neighbours are not tried."""
+    return "muv" not in dataset.lower()

@@ -51,9 +51,13 @@ def pr_auc(df: DataFrame, by: list[str]) -> DataFrame:
 def absolute_errors(df: DataFrame, by: list[str]) -> DataFrame:
     """mae, and rae: the errors' sum by that of always saying the mean; over pairs that are finite."""
     rows = df.where(finite(F.col("y_true").cast("double")) & finite(F.col("y_score").cast("double")))
-    rows = rows.withColumn("__mean", F.avg("y_true").over(Window.partitionBy(*by)))
+    # the means are one row a group
+    means = rows.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.avg("y_true").alias("__mean"))
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
     e = F.abs(F.col("y_true") - F.col("y_score"))
-    return rows.groupBy(*by).agg(F.avg(e).alias("mae"), (F.sum(e) / F.sum(F.abs(F.col("y_true") - F.col("__mean")))).alias("rae"))
+    return rows.join(means, on).groupBy(*by).agg(F.avg(e).alias("mae"), (F.sum(e) / F.sum(F.abs(F.col("y_true") - F.col("__mean")))).alias("rae"))
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -67,3 +71,33 @@ def weighted_median(df: DataFrame, by: list[str], value: str, weight: str) -> Da
     summed = df.where(f"{value} IS NOT NULL AND {weight} > 0").groupBy(*by, value).agg(F.sum(weight).alias("__w"))
     run = summed.withColumn("__run", F.sum("__w").over(up)).withColumn("__all", F.sum("__w").over(Window.partitionBy(*by)))
     return run.where("__run * 2 >= __all").groupBy(*by).agg(F.min(value).alias("weighted_median"))
+
+
+def noise(se: Column, delta: Column, has_counter: Column, emax: Column, default: float, floor: float) -> Column:
+    """A measurement's noise: its squared error, `default` where unknown and `floor` at least, and the squared floor, by its reliability.
+
+    Reliability is the product of two steps, of the difference to the counter assay and of the efficacy.
+    """
+    # fixed values: the steps and what stands for nothing known
+    selective = F.when(~has_counter | delta.isNull() | F.isnan(delta), 0.75).when(delta >= 1.5, 1.0).when(delta >= 0.5, 0.6).otherwise(0.3)
+    effective = F.when(emax.isNull() | F.isnan(emax), 0.85).when(emax >= 0.7, 1.0).when(emax >= 0.4, 0.85).otherwise(0.7)
+    sigma = F.greatest(F.coalesce(se, F.lit(default)), F.lit(floor))
+    return (sigma * sigma + floor * floor) / (selective * effective)
+
+
+def scorer(name: str):
+    """(score, direction) of a metric by its name: score(df, by) gives (by, score) over (y_true, y_score); direction is 1 or -1. Unknown names are an error."""
+
+    def of(column: str, f):
+        return lambda df, by: f(df, by).select(*by, F.col(column).cast("double").alias("score"))
+
+    known = {
+        "roc_auc": (of("auroc", auroc), 1),
+        "pr_auc_score": (of("pr_auc", pr_auc), 1),
+        "spearmancorr": (of("spearman", lambda df, by: spearman(df, by, "y_true", "y_score")), 1),
+        "mae": (of("mae", absolute_errors), -1),
+        "rae": (of("rae", absolute_errors), -1),
+    }
+    if name not in known:
+        raise ValueError(f"unknown metric: {name}")
+    return known[name]

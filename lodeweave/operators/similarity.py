@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,18 +32,57 @@ def set_tanimoto(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
-def nearest(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+def nearest(queries: DataFrame, targets: DataFrame, k: int, block_bytes: int = 32 << 20) -> DataFrame:
     """(query, target, similarity, place): the k targets with the largest cosine, by id on ties.
 
-    queries: (query, vector); targets: (target, vector). The query set is stated by the caller and goes to the targets,
-    which are never moved: each partition of targets keeps its best k, and those meet by query.
+    queries: (query, vector), a set that the caller states; targets: (target, vector), ids as longs. Queries go through in
+    blocks of `block_bytes`, one at a time in the closure of a pass over the targets, which are never moved: a task keeps
+    its best k of each query, and those meet by query. Vectors that are null, zero or not finite find nothing.
     """
-    q = F.broadcast(queries.select("query", F.col("vector").alias("__q")))
-    pairs = targets.select("target", F.col("vector").alias("__t")).crossJoin(q).where("query <> target")
-    scored = pairs.select("query", "target", F.round(cosine(F.col("__q"), F.col("__t")), 9).alias("similarity")).where("similarity IS NOT NULL")
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
+    at_once = max(1, block_bytes // (8 * max(1, size["d"] or 1)))
+    blocks = max(1, -(-size["n"] // at_once))
+    best = None
+    for b in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).select("query", F.col("vector").cast("array<double>").alias("vector")).toLocalIterator()
+        held = [(r["query"], r["vector"]) for r in rows if r["vector"]]
+        if held:
+            found = _best_of_block(targets, np.array([q for q, _ in held]), np.array([v for _, v in held], float), k)
+            best = found if best is None else best.unionByName(found)
+    if best is None:
+        best = queries.sparkSession.createDataFrame([], "query long, target long, similarity double")
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "target")
-    # a limit on row_number lets the planner cut each partition to k before the exchange
-    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; NaN for rows without a direction."""
+    norm = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, norm, out=np.full_like(x, np.nan), where=(norm > 0) & np.isfinite(norm))
+
+
+def _best_of_block(targets: DataFrame, names: np.ndarray, vectors: np.ndarray, k: int) -> DataFrame:
+    units = _units(vectors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        similarity, target = np.full((len(names), 0), -np.inf), np.zeros((len(names), 0), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                with np.errstate(invalid="ignore"):
+                    s = np.round(units @ _units(x).T, 9)
+                s[~np.isfinite(s) | (names[:, None] == ids[None, :])] = -np.inf
+                similarity = np.concatenate([similarity, s], 1)
+                target = np.concatenate([target, np.broadcast_to(ids, s.shape)], 1)
+                order = np.lexsort((target, -similarity), axis=1)[:, :k]
+                similarity, target = np.take_along_axis(similarity, order, 1), np.take_along_axis(target, order, 1)
+        q, c = np.nonzero(np.isfinite(similarity))
+        yield pa.RecordBatch.from_pydict({"query": pa.array(names[q], pa.int64()), "target": pa.array(target[q, c], pa.int64()), "similarity": pa.array(similarity[q, c], pa.float64())})
+
+    whole = targets.where("vector IS NOT NULL AND size(vector) > 0").select(F.col("target").cast("long").alias("target"), F.col("vector").cast("array<double>").alias("vector"))
+    return whole.mapInArrow(run, "query long, target long, similarity double")
 
 
 def set_join(sets: DataFrame, least: float) -> DataFrame:

@@ -173,6 +173,34 @@ def quotas(sizes: DataFrame, name: str, size: str, budget: int) -> DataFrame:
     return s.select(name, size, (F.col("__floor") + (F.col("__place") <= F.col("__spare")).cast("long")).alias("quota"))
 
 
+def budgets(sizes: DataFrame, name: str, size: str, budget: int) -> DataFrame:
+    """(name, size, quota): a budget of samples shared out to splits, one row each; nobody gets more than it has.
+
+    All get everything if that is within the budget. Else each split that isn't empty gets one, if the budget allows; the
+    rest is shared by what is left of the sizes, whole parts first, then one each by (fraction, name), both falling, to
+    splits that have more, and what still is left goes to the largest first. Splits are few: the windows see them all.
+    """
+    every = Window.partitionBy()
+    n, full = F.col(size).cast("long"), F.sum(size).over(every)
+    s = sizes.select(name, n.alias(size), full.alias("__all"))
+    filled = F.sum((F.col(size) > 0).cast("long")).over(every)
+    s = s.withColumn("__one", F.when((F.col(size) > 0) & (filled <= budget), 1).otherwise(0).cast("long"))
+    s = s.withColumn("__rest", F.lit(budget) - F.sum("__one").over(every)).withColumn("__w", F.col(size) - F.col("__one"))
+    exact = F.coalesce(F.col("__rest") * F.col("__w") / F.nullif(F.sum("__w").over(every), F.lit(0)), F.lit(0.0))
+    s = s.withColumn("__exact", exact).withColumn("__add", F.least(F.floor("__exact").cast("long"), F.col("__w")))
+    s = s.withColumn("__has", F.col("__one") + F.col("__add")).withColumn("__more", F.col(size) - F.col("__has"))
+    place = F.row_number().over(Window.partitionBy((F.col("__more") > 0).alias("x")).orderBy(F.desc(F.col("__exact") - F.col("__add")), F.desc(name)))
+    spare = F.lit(budget) - F.sum("__has").over(every)
+    s = s.withColumn("__place", place).withColumn("__spare", spare)
+    s = s.withColumn("__has", F.col("__has") + ((F.col("__more") > 0) & (F.col("__place") <= F.col("__spare"))).cast("long"))
+    left = F.lit(budget) - F.sum("__has").over(every)
+    room = F.col(size) - F.col("__has")
+    before = F.coalesce(F.sum("__room").over(Window.orderBy(F.desc(size), name).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    s = s.withColumn("__room", room).withColumn("__left", left).withColumn("__before", before)
+    fill = F.greatest(F.lit(0), F.least(F.col("__room"), F.col("__left") - F.col("__before")))
+    return s.select(name, size, F.when(F.col("__all") <= budget, F.col(size)).otherwise(F.col("__has") + fill).alias("quota"))
+
+
 def raster(df: DataFrame, x: str, y: str, low: float, high: float, cells: int) -> DataFrame:
     """(px, py, n, mean_x): counts on a grid; points outside go to border cells."""
     def cell(c):

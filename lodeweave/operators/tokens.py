@@ -131,6 +131,31 @@ def encode(text: Column, vocab: dict[str, int], max_span: int) -> Column:
     return F.when(good, F.transform(found, lambda t: F.coalesce(F.try_element_at(ids, t), unknown))).otherwise(F.array(unknown))
 
 
+def encode_pieces(pieces: Column, vocab: dict[str, int], max_span: int) -> Column:
+    """Ids by greedy longest match over pieces, tokens of up to max_span of them; a piece that begins no token is unknown, no pieces are one unknown.
+
+    For vocabularies whose tokens aren't told apart by brackets: a fold over places, which looks up the joined pieces from
+    the longest on. The vocabulary is a literal of the plan.
+    """
+    ids = F.create_map(*[F.lit(x) for kv in vocab.items() for x in kv])
+    unknown = SPECIALS["<unk>"]
+
+    def at(all_: Column, i: Column) -> Column:
+        spans = F.filter(F.sequence(F.lit(1), F.least(F.lit(max_span), F.size(all_) - i)), lambda k: F.map_contains_key(ids, F.array_join(F.slice(all_, i + 1, k), "")))
+        return F.coalesce(F.array_max(spans), F.lit(0))
+
+    def step(all_: Column):
+        def one(s: Column, i: Column) -> Column:
+            took = F.transform(F.array(at(all_, i)), lambda k: F.struct((i + F.greatest(k, F.lit(1))).alias("next"), F.concat(s["ids"], F.array(F.when(k == 0, unknown).otherwise(F.try_element_at(ids, F.array_join(F.slice(all_, i + 1, F.greatest(k, F.lit(1))), ""))))).alias("ids")))[0]
+            return F.when(i < s["next"], s).otherwise(took)
+
+        return one
+
+    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("ids"))
+    folded = F.transform(F.array(pieces), lambda all_: F.aggregate(F.sequence(F.lit(0), F.size(all_) - 1), start, step(all_), lambda s: s["ids"]))[0]
+    return F.when(F.size(pieces) > 0, folded).otherwise(F.array(F.lit(unknown)))
+
+
 def framed(ids: Column, pair: Column | None = None) -> Column:
     """ids between start and end; a second sequence follows behind the end, with an end of its own."""
     end = F.array(F.lit(SPECIALS["</s>"]))

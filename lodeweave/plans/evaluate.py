@@ -9,6 +9,7 @@ from lodeweave.functions import text
 from lodeweave.functions.hashing import draw, draw_sql
 from lodeweave.operators import metrics as M
 from lodeweave.operators import similarity as S
+from lodeweave.operators import splits as Sp
 from lodeweave.operators import statistics as St
 from lodeweave.operators import tokens as T
 from lodeweave.operators.order import placed
@@ -184,12 +185,10 @@ def _(s, d):
     return _brackets(s, d).agg(F.max(F.greatest(F.lit(1), F.size(text.pieces(F.col("sequence"), text.BRACKETED)))).cast("long").alias("max_span"))
 
 
-@_add("x08_looks_like_smiles", "SELECT p_partkey, regexp_matches(trim(CASE WHEN p_size > 25 THEN regexp_replace(upper(p_name), '[^BCNOPSFI]', '', 'g') || '=O ' ELSE upper(p_name) END), '^(?:\\[[0-9]*(?:Br|Cl|[HBCNOPSFIbcnops])[^\\]]*\\]|Br|Cl|[BCNOPSFIbcnops]|%[0-9][0-9]|[()\\-.=#$:/\\\\+@]|[0-9])+$') AS looks FROM part")
+@_add("x08_looks_like_smiles", "SELECT l_orderkey, l_linenumber, regexp_matches(trim(v), '^(?:\\[[0-9]*(?:Br|Cl|[HBCNOPSFIbcnops])[^\\[\\]]*\\]|Br|Cl|[BCNOPSFIbcnops]|%[0-9][0-9]|[()\\-.=#$:/\\\\+@]|[0-9])+$') AS looks FROM (SELECT *, concat(' ', l_returnflag, '=', l_linestatus, l_linenumber, ' ') AS v FROM lineitem)")
 def _(s, d):
-    # whole values, stripped; of large parts only the letters that stand for atoms, so that some look so
-    atoms = F.concat(F.regexp_replace(F.upper("p_name"), "[^BCNOPSFI]", ""), F.lit("=O "))
-    value = F.trim(F.when(F.col("p_size") > 25, atoms).otherwise(F.upper("p_name")))
-    return _t(s, d, "part").select("p_partkey", value.rlike(text.SMILES).alias("looks"))
+    value = F.concat(F.lit(" "), "l_returnflag", F.lit("="), "l_linestatus", F.col("l_linenumber").cast("string"), F.lit(" "))
+    return _t(s, d, "lineitem").select("l_orderkey", "l_linenumber", text.looks_like_smiles(value).alias("looks"))
 
 
 @_add("w07_adjacent_pairs", "WITH t AS (SELECT p_partkey, list_concat(" + _WORDS + ", " + _WORDS + ") AS toks FROM part), p AS (SELECT unnest(list_zip(toks[:-2], toks[2:])) AS z FROM t) SELECT z[1] AS \"left\", z[2] AS \"right\", count(*) AS n FROM p GROUP BY 1, 2")
@@ -220,8 +219,18 @@ def _(s, d):
 
 @_add("g42_length_percentiles", "SELECT lang, round(quantile_cont(n_chars, 0.9), 6) AS p90, round(quantile_cont(n_chars, 0.99), 6) AS p99, round(quantile_cont(n_chars, 0.999), 6) AS p999 FROM documents GROUP BY 1")
 def _(s, d):
-    q = F.percentile("n_chars", F.array(F.lit(0.9), F.lit(0.99), F.lit(0.999)))
-    return _t(s, d, "documents").groupBy("lang").agg(F.round(q[0], 6).alias("p90"), F.round(q[1], 6).alias("p99"), F.round(q[2], 6).alias("p999"))
+    q = St.exact_quantiles(_t(s, d, "documents"), ["lang"], "n_chars", [0.9, 0.99, 0.999]).withColumn("q", F.col("quantiles"))
+    return q.select("lang", *[F.round(F.col("q")[k], 6).alias(n) for k, n in enumerate(("p90", "p99", "p999"))])
+
+
+@_add("g42_length_report", "WITH d AS (SELECT * FROM documents WHERE n_chars IS NOT NULL) SELECT source, count(*) AS n, max(n_chars) AS longest, " + ", ".join(f"round(quantile_cont(n_chars, {q}), 6) AS {n}" for q, n in ((0.9, "p90"), (0.95, "p95"), (0.99, "p99"), (0.995, "p995"), (0.999, "p999"))) + ", (SELECT string_agg(doc_id::VARCHAR, ',' ORDER BY n_chars DESC, doc_id) FROM (SELECT doc_id, n_chars FROM d x WHERE x.source = d.source ORDER BY n_chars DESC, doc_id LIMIT 5)) AS worst FROM d GROUP BY 1")
+def _(s, d):
+    docs = _t(s, d, "documents").select("source", "doc_id", "n_chars")
+    names = {"p90": 0.9, "p95": 0.95, "p99": 0.99, "p995": 0.995, "p999": 0.999}
+    q = St.exact_quantiles(docs, ["source"], "n_chars", list(names.values()))
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
+    worst = docs.withColumn("place", place).where("place <= 5").groupBy("source").agg(F.max("n_chars").alias("longest"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "doc_id"))), lambda x: x["doc_id"].cast("string")), ",").alias("worst"))
+    return q.join(worst, "source").select("source", "n", "longest", *[F.round(F.col("quantiles")[k], 6).alias(n) for k, n in enumerate(names)], "worst")
 
 
 _ENC_VOCAB = ["[red]", "[ring]", "[widget]", "[small]", "[red][ring]", "[small][ring]", "[red][widget]"]
@@ -385,6 +394,35 @@ def _(s, d):
     return St.quotas(_t(s, d, "documents").groupBy("source").agg(F.count("*").alias("size")), "source", "size", 100)
 
 
+# a budget of 40 over the sources: one each, whole parts, the largest fractions; all have enough rows
+_BUDGETS = """
+z AS (SELECT source, count(*) AS size FROM documents GROUP BY 1),
+o AS (SELECT *, CASE WHEN count(*) OVER () <= 40 THEN 1 ELSE 0 END AS one FROM z),
+x AS (SELECT *, (40 - sum(one) OVER ()) * (size - one) / sum(size - one) OVER ()::DOUBLE AS exact FROM o),
+h AS (SELECT *, one + least(floor(exact)::BIGINT, size - one) AS has FROM x),
+q AS (SELECT source, size, has + CASE WHEN size > has AND row_number() OVER (PARTITION BY size > has ORDER BY exact - (has - one) DESC, source DESC) <= 40 - sum(has) OVER () THEN 1 ELSE 0 END AS quota FROM h)"""
+
+
+@_add("w11_budgets", f"WITH {_BUDGETS} SELECT source, size, quota::BIGINT AS quota FROM q")
+def _(s, d):
+    return St.budgets(_t(s, d, "documents").groupBy("source").agg(F.count("*").alias("size")), "source", "size", 40)
+
+
+@_add("o10_compacted_sample", f"WITH {_BUDGETS}, r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {draw_sql(13, 'sample', 'doc_id')}, doc_id) AS k FROM documents) SELECT r.source, doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS new_position FROM r JOIN q ON q.source IS NOT DISTINCT FROM r.source WHERE k <= quota")
+def _(s, d):
+    docs = _t(s, d, "documents").select("doc_id", "source")
+    names = [r["source"] for r in docs.select("source").distinct().collect()]
+    return Sp.subsample(docs, "source", "doc_id", names, 40, 13).select("source", "doc_id", "new_position")
+
+
+@_add("t09_piece_match", "WITH RECURSIVE v AS (SELECT ['ca', 'car', 'ro', 'l', 'c', 'a', 'o'] AS words), c AS (SELECT c_custkey, lower(regexp_replace(c_mktsegment, '[^A-Z]', '', 'g')) AS t FROM customer), w(c_custkey, t, i, ids) AS (SELECT c_custkey, t, 1::BIGINT, []::BIGINT[] FROM c UNION ALL SELECT c_custkey, t, i + greatest(1, k), list_append(ids, CASE WHEN k = 0 THEN 3 ELSE 4 + list_position(words, substr(t, i, k)) END) FROM (SELECT w.*, words, CASE WHEN list_contains(words, substr(t, i, 3)) AND i + 2 <= length(t) THEN 3 WHEN list_contains(words, substr(t, i, 2)) AND i + 1 <= length(t) THEN 2 WHEN list_contains(words, substr(t, i, 1)) THEN 1 ELSE 0 END AS k FROM w, v WHERE i <= length(t))) SELECT c_custkey, array_to_string(ids, ',') AS ids FROM w WHERE i > length(t)")
+def _(s, d):
+    words = ["ca", "car", "ro", "l", "c", "a", "o"]
+    vocab = {t: i for i, t in enumerate([*T.SPECIALS, *words])}
+    pieces = text.pieces(F.lower(F.regexp_replace("c_mktsegment", "[^A-Z]", "")), text.SMILES_PIECE)
+    return _t(s, d, "customer").select("c_custkey", _join(T.encode_pieces(pieces, vocab, 3)).alias("ids"))
+
+
 @_add("o10_stratified_sample", QUERIES["w11_quotas"][1].rsplit("SELECT", 1)[0] + f", q AS (SELECT {QUERIES['w11_quotas'][1].rsplit('SELECT', 1)[1]}), r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {draw_sql(13, 'sample', 'doc_id')}, doc_id) AS k FROM documents) SELECT r.source, doc_id FROM r JOIN q USING (source) WHERE k <= quota")
 def _(s, d):
     docs = _t(s, d, "documents").select("doc_id", "source")

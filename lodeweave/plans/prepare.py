@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodeweave.functions import hashing, text
 from lodeweave.operators import corpus as C
+from lodeweave.operators import metrics as M
+from lodeweave.operators import splits as Sp
 
 QUERIES: dict = {}
 
@@ -351,15 +353,18 @@ def _(s, d):
     return grid.join(n, ["n_nationkey", "event_type"], "left").select("n_name", "event_type", F.when(F.col("n").isNull(), "absent").when(F.col("n") > 40, "full").otherwise("partial").alias("status"))
 
 
-@_add("j16_parameter_grid", "SELECT lr, rate FROM (VALUES (0.1), (0.2), (0.4)) a(lr) CROSS JOIN (VALUES (15), (20), (25)) b(rate) WHERE NOT (lr = 0.2 AND rate = 20)")
+@_add("j16_parameter_grid", "SELECT size, brand FROM (SELECT DISTINCT p_size AS size FROM part) CROSS JOIN (SELECT DISTINCT p_brand AS brand FROM part) EXCEPT SELECT p_size, p_brand FROM part")
 def _(s, d):
-    grid = s.sql("SELECT lr, rate FROM VALUES (0.1), (0.2), (0.4) AS a(lr) CROSS JOIN VALUES (15), (20), (25) AS b(rate)")
-    return grid.join(s.sql("SELECT 0.2 AS lr, 20 AS rate"), ["lr", "rate"], "left_anti")
+    # the product of two lists of parameters, without the pairs that are populated
+    p = _t(s, d, "part")
+    sizes, brands = p.select(F.col("p_size").alias("size")).distinct(), p.select(F.col("p_brand").alias("brand")).distinct()
+    done = p.select(F.col("p_size").alias("size"), F.col("p_brand").alias("brand"))
+    return sizes.crossJoin(brands).join(done, ["size", "brand"], "left_anti")
 
 
 @_add("w06_sequential_ids", "SELECT p_name, row_number() OVER (ORDER BY p_name) AS id FROM (SELECT DISTINCT p_name FROM part)")
 def _(s, d):
-    return _t(s, d, "part").select("p_name").distinct().select("p_name", F.row_number().over(Window.orderBy("p_name")).cast("long").alias("id"))
+    return C.numbered(_t(s, d, "part").select("p_name").distinct(), [F.col("p_name")], "id")
 
 
 @_add("k05_append_result", "SELECT s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT (SELECT max(s_suppkey) FROM supplier) + 1, 'appended'")
@@ -393,3 +398,63 @@ def _(s, d):
 @_add("o09_seeded_sample", f"SELECT p_partkey FROM part ORDER BY {hashing.draw_sql(7, 'sample', 'p_partkey')}, p_partkey LIMIT 64")
 def _(s, d):
     return C.sample(_t(s, d, "part").select("p_partkey"), "p_partkey", 64, 7)
+
+
+# both engines read these: names of splits as they come, sequences that may be blank
+_SPLIT_TEXT = "CASE o_orderkey % 5 WHEN 0 THEN 'Validation' WHEN 1 THEN 'val ' WHEN 2 THEN 'valid' WHEN 3 THEN 'train' END"
+_SEQUENCE = "CASE WHEN o_orderkey % 7 = 0 THEN '  ' WHEN o_orderkey % 7 = 1 THEN NULL ELSE o_orderpriority END"
+
+
+@_add("f10_split_filter", f"SELECT o_orderkey FROM orders WHERE lower(trim({_SPLIT_TEXT})) IN ('valid', 'validation', 'val') AND trim({_SEQUENCE}) <> ''")
+def _(s, d):
+    rows = _t(s, d, "orders").select("o_orderkey", F.expr(_SPLIT_TEXT).alias("split"), F.expr(_SEQUENCE).alias("sequence"))
+    return Sp.of_split(rows, "split", "valid", "sequence").select("o_orderkey")
+
+
+@_add("f11_excluded_splits", f"SELECT split, count(*) AS n FROM (SELECT doc_id, {_SPLIT} AS split FROM documents) WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY 1")
+def _(s, d):
+    out = Sp.excluded(_split(s, d), "doc_id", "split", _t(s, d, "labels").where("toxic = 1"))
+    return out.groupBy("split").agg(F.count("*").alias("n"))
+
+
+@_add("f12_dropped_count", "SELECT count(*) FILTER (WHERE good) AS kept, count(*) FILTER (WHERE NOT good) AS dropped FROM (SELECT embedding IS NOT NULL AND label <> 3 AS good FROM embeddings)")
+def _(s, d):
+    vector = F.when(F.col("label") == 3, F.concat("embedding", F.array(F.lit(float("nan")).cast("float")))).otherwise(F.col("embedding"))
+    kept, n = Sp.without_nan(_t(s, d, "embeddings").select(vector.alias("v")), "v")
+    return kept.agg(F.count("*").alias("kept")).join(n.select(F.col("n").alias("dropped")))
+
+
+@_add("f15_coalesced_aliases", "SELECT coalesce(nullif(trim(CASE WHEN p_size > 25 THEN ' ' ELSE p_brand END), ''), p_type) AS name, p_partkey FROM part")
+def _(s, d):
+    p = _t(s, d, "part").select("p_partkey", F.when(F.col("p_size") > 25, " ").otherwise(F.col("p_brand")).alias("Brand"), F.col("p_type").alias("kind"))
+    return C.canonical(p, {"name": ["brand", "kind"]})
+
+
+@_add("x17_short_names", "SELECT page_id, CASE WHEN leaf LIKE '%gpt%' THEN leaf ELSE split_part(leaf, '.', 1) END AS short FROM (SELECT page_id, split_part(concat('m/', CASE WHEN page_id % 3 = 0 THEN 'gpt-' ELSE 'v' END, page_id, '.5.bin'), '/', -1) AS leaf FROM pages)")
+def _(s, d):
+    path = F.concat(F.lit("m/"), F.when(F.col("page_id") % 3 == 0, "gpt-").otherwise("v"), F.col("page_id").cast("string"), F.lit(".5.bin"))
+    return _t(s, d, "pages").select("page_id", text.short_name(path).alias("short"))
+
+
+@_add("x24_all_formats", "SELECT o_orderkey, format('{:,}', round(o_totalprice)::BIGINT) AS thousands, CASE WHEN o_totalprice * 50 >= 1000000 THEN regexp_replace(printf('%.1f', round_even(o_totalprice * 50 / 1000000, 1)), '\\.0$', '') || 'M' WHEN o_totalprice * 50 >= 1000 THEN regexp_replace(printf('%.1f', round_even(o_totalprice * 50 / 1000, 1)), '\\.0$', '') || 'k' ELSE printf('%.0f', o_totalprice * 50) END AS compact, printf('%.1f', round_even(o_custkey / 1000 * 100, 1)) || '%' AS share FROM orders")
+def _(s, d):
+    p = F.col("o_totalprice")
+    return _t(s, d, "orders").select("o_orderkey", text.thousands(F.round(p)).alias("thousands"), text.compact(p * 50).alias("compact"), text.percent(F.col("o_custkey") / 1000).alias("share"))
+
+
+@_add("x25_powers", "SELECT c_custkey, round(exp(c_acctbal / 1000), 6) AS e, round(pow(10, -2 + 5 * (c_custkey % 10) / 9e0), 6) AS step, round_even(c_acctbal, 0) AS whole, floor(c_acctbal)::BIGINT AS down FROM customer")
+def _(s, d):
+    b = F.col("c_acctbal")
+    # ten steps from 0.01 to 1000, even on the scale of powers
+    step = F.pow(F.lit(10.0), F.lit(-2.0) + F.lit(5.0) * (F.col("c_custkey") % 10) / F.lit(9.0))
+    return _t(s, d, "customer").select("c_custkey", F.round(F.exp(b / 1000), 6).alias("e"), F.round(step, 6).alias("step"), F.bround(b, 0).alias("whole"), F.floor(b).alias("down"))
+
+
+# both engines read these: an error of measurement, a difference, whether there is one, an efficacy
+_ASSAY = {"se": "CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE abs(c_acctbal) / 10000 END", "delta": "CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_acctbal / 3000 END", "has": "c_custkey % 5 <> 0", "emax": "CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE (c_custkey % 11) / 10e0 END"}
+
+
+@_add("f25_noise_diagonal", "SELECT c_custkey, round((s * s + 0.04) / (ws * we), 6) AS noise FROM (SELECT c_custkey, greatest(coalesce(se, 0.3), 0.2) AS s, CASE WHEN NOT has OR delta IS NULL THEN 0.75e0 WHEN delta >= 1.5 THEN 1e0 WHEN delta >= 0.5 THEN 0.6e0 ELSE 0.3e0 END AS ws, CASE WHEN emax IS NULL THEN 0.85e0 WHEN emax >= 0.7 THEN 1e0 WHEN emax >= 0.4 THEN 0.85e0 ELSE 0.7e0 END AS we FROM (SELECT c_custkey, " + ", ".join(f"{e} AS {k}" for k, e in _ASSAY.items()) + " FROM customer))")
+def _(s, d):
+    rows = _t(s, d, "customer").select("c_custkey", *[F.expr(e.replace("10e0", "10.0D")).alias(k) for k, e in _ASSAY.items()])
+    return rows.select("c_custkey", F.round(M.noise(F.col("se"), F.col("delta"), F.col("has"), F.col("emax"), 0.3, 0.2), 6).alias("noise"))

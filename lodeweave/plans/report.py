@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodeweave.operators import corpus as C
 from lodeweave.operators import reporting as R
 
 #: Both engines read this: sums of whole hundredths, so that every quotient is the same double.
@@ -359,7 +360,7 @@ def _(s, d):
 def _(s, d):
     v = s.read.parquet(f"{d}/part.parquet").select(F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise(F.col("p_type")).alias("v")).distinct()
     n = F.expr("try_cast(v AS double)")
-    return v.select("v", F.row_number().over(Window.orderBy(n.isNull(), n, "v")).cast("long").alias("place"))
+    return C.numbered(v, [n.isNull(), n, F.col("v")])
 
 
 @_add("o04_count_then_name", "SELECT p_type, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_type")
