@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.operators.reporting import average_rank
+from lodeweave.operators.order import running_by_value
 
 
 def finite(c: Column) -> Column:
@@ -20,9 +20,8 @@ def _by_score(df: DataFrame, by: list[str]) -> DataFrame:
 
 def auroc(df: DataFrame, by: list[str]) -> DataFrame:
     """(by, auroc): rank-sum with shared ranks for ties; groups with one class give no row."""
-    below = Window.partitionBy(*by).orderBy("y_score").rowsBetween(Window.unboundedPreceding, -1)
-    s = _by_score(df, by).withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    wins = F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2))
+    s = running_by_value(_by_score(df, by), by, "y_score", ["neg"])
+    wins = F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2))
     return s.groupBy(*by).agg(wins.alias("w"), F.sum("pos").alias("p"), F.sum("neg").alias("n")).where("p > 0 AND n > 0").select(*by, (F.col("w") / F.col("p") / F.col("n")).alias("auroc"))
 
 
@@ -31,21 +30,24 @@ def mean_auroc(df: DataFrame, endpoint: str) -> DataFrame:
     return auroc(df, [endpoint]).agg(F.avg("auroc").alias("mean_auroc"), F.count("*").alias("n_endpoints"))
 
 
+def _falling(df: DataFrame, by: list[str]) -> DataFrame:
+    """Per distinct threshold, scores falling: pos and neg at it, tp and fp from the highest on, p and n of all; groups with both classes."""
+    s = running_by_value(_by_score(df, by), by, "y_score", ["pos", "neg"]).where("pos_all > 0 AND neg_all > 0")
+    tp, fp = (F.col(f"{m}_all") - F.col(f"{m}_upto") + F.col(m) for m in ("pos", "neg"))
+    return s.select(*by, F.col("y_score").alias("threshold"), "pos", "neg", tp.alias("tp"), fp.alias("fp"), F.col("pos_all").alias("p"), F.col("neg_all").alias("n"))
+
+
 def curve(df: DataFrame, by: list[str]) -> DataFrame:
     """Per distinct threshold, scores falling: threshold, tp, fp, tpr, fpr, precision, recall."""
-    down = Window.partitionBy(*by).orderBy(F.desc("y_score")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*by)
-    s = _by_score(df, by)
-    s = s.select(*by, F.col("y_score").alias("threshold"), F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(every).alias("p"), F.sum("neg").over(every).alias("n"))
-    s = s.where("p > 0 AND n > 0")
-    return s.select(*by, "threshold", "tp", "fp", (F.col("tp") / F.col("p")).alias("tpr"), (F.col("fp") / F.col("n")).alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+    return _falling(df, by).select(*by, "threshold", "tp", "fp", (F.col("tp") / F.col("p")).alias("tpr"), (F.col("fp") / F.col("n")).alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
 
 def pr_auc(df: DataFrame, by: list[str]) -> DataFrame:
-    """Area under precision over recall by trapezoids, from the anchor (recall 0, precision 1)."""
-    w = Window.partitionBy(*by).orderBy(F.desc("threshold"))
-    c = curve(df, by).withColumn("r0", F.coalesce(F.lag("tpr").over(w), F.lit(0.0))).withColumn("p0", F.coalesce(F.lag("precision").over(w), F.lit(1.0)))
-    return c.groupBy(*by).agg(F.sum((F.col("tpr") - F.col("r0")) * (F.col("precision") + F.col("p0")) / 2).alias("pr_auc"))
+    """Area under precision over recall by trapezoids, from the anchor (recall 0, precision 1). A threshold knows what stood before it by its own counts."""
+    tp0, fp0 = F.col("tp") - F.col("pos"), F.col("fp") - F.col("neg")
+    before = F.when(tp0 + fp0 > 0, tp0 / F.nullif(tp0 + fp0, F.lit(0))).otherwise(1.0)
+    now = F.col("tp") / (F.col("tp") + F.col("fp"))
+    return _falling(df, by).groupBy(*by).agg(F.sum(F.col("pos") / F.col("p") * (now + before) / 2).alias("pr_auc"))
 
 
 def absolute_errors(df: DataFrame, by: list[str]) -> DataFrame:
@@ -61,16 +63,33 @@ def absolute_errors(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("__x", average_rank(F.col(x), *by)).withColumn("__y", average_rank(F.col(y), *by))
-    return ranked.groupBy(*by).agg(F.corr("__x", "__y").alias("spearman"))
+    """(by, spearman): the correlation of ranks, equal values sharing the mean of theirs; pairs that lack one are left out."""
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).agg(F.count("*").alias("__n"))
+
+    def ranks(c: str) -> DataFrame:
+        counts = both.groupBy(*by, c).agg(F.sum("__n").alias("t"))
+        rank = F.col("t_upto") - (F.col("t") - 1) / 2
+        return running_by_value(counts, by, c, ["t"]).select(*[F.col(b).alias(f"{c}_{b}") for b in by], F.col(c).alias(f"{c}_v"), rank.alias(f"{c}_r"))
+
+    def on(c: str) -> Column:
+        out = F.col(c) == F.col(f"{c}_v")
+        for b in by:
+            out = out & F.col(b).eqNullSafe(F.col(f"{c}_{b}"))
+        return out
+
+    r = both.join(ranks("__x"), on("__x")).join(ranks("__y"), on("__y"))
+    # distinct pairs count as often as they occur
+    n, a, b = (F.col(c).cast("double") for c in ("__n", "__x_r", "__y_r"))
+    m = r.groupBy(*by).agg(F.sum(n).alias("n"), F.sum(n * a).alias("a"), F.sum(n * b).alias("b"), F.sum(n * a * a).alias("aa"), F.sum(n * b * b).alias("bb"), F.sum(n * a * b).alias("ab"))
+    spread = F.sqrt((F.col("aa") - F.col("a") * F.col("a") / F.col("n")) * (F.col("bb") - F.col("b") * F.col("b") / F.col("n")))
+    return m.select(*by, ((F.col("ab") - F.col("a") * F.col("b") / F.col("n")) / F.nullif(spread, F.lit(0.0))).alias("spearman"))
 
 
 def weighted_median(df: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
     """The first value at which the running weight reaches half of all."""
-    up = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    summed = df.where(f"{value} IS NOT NULL AND {weight} > 0").groupBy(*by, value).agg(F.sum(weight).alias("__w"))
-    run = summed.withColumn("__run", F.sum("__w").over(up)).withColumn("__all", F.sum("__w").over(Window.partitionBy(*by)))
-    return run.where("__run * 2 >= __all").groupBy(*by).agg(F.min(value).alias("weighted_median"))
+    summed = df.where(f"{value} IS NOT NULL AND {weight} > 0").groupBy(*by, value).agg(F.sum(weight).alias("w"))
+    run = running_by_value(summed, by, value, ["w"])
+    return run.where("w_upto * 2 >= w_all").groupBy(*by).agg(F.min(value).alias("weighted_median"))
 
 
 def noise(se: Column, delta: Column, has_counter: Column, emax: Column, default: float, floor: float) -> Column:

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeweave.operators.order import exact_quantiles
+
 #: Metrics whose smaller values are better, and those bounded by 1 that reports show times 100.
 LOWER_IS_BETTER = ("mae", "mse", "rmse", "rae")
 BOUNDED = ("accuracy", "auprc", "auroc", "f1", "pr_auc", "roc_auc")
@@ -92,9 +94,13 @@ def with_group_max(df: DataFrame, by: Sequence[str], value: str, alias: str = "b
 
 def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """n, mean, median, sample deviation, quartiles and their distance."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
-    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_samp(value).alias("sd"), q.alias("q"))
-    return out.select(*by, "n", "mean", "median", "sd", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), (F.col("q")[1] - F.col("q")[0]).alias("iqr"))
+    q = exact_quantiles(df, list(by), value, [0.25, 0.5, 0.75]).select(*[F.col(c).alias(f"__{c}") for c in by], F.col("quantiles").alias("q"))
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")).join(q, on, "left")
+    q1, median, q3 = (F.col("q")[k] for k in range(3))
+    return out.select(*by, "n", "mean", median.alias("median"), "sd", q1.alias("q1"), q3.alias("q3"), (q3 - q1).alias("iqr"))
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: Sequence) -> DataFrame:

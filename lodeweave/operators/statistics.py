@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeweave.operators.order import exact_quantiles, running_by_value
+
 
 #: Draws that one SHA-1 gives: eight of five hexadecimal digits.
 _DRAWS, _DIGITS = 8, 5
@@ -53,12 +55,20 @@ def bootstrap_mean(df: DataFrame, key: str, value: str, replicates: int, seed: i
 
 def signed_rank(df: DataFrame, by: list[str], delta: str) -> DataFrame:
     """Wilcoxon's sums: n without zeros, w_plus and w_minus, with shared ranks."""
-    rows = df.where(f"{delta} <> 0").withColumn("__a", F.abs(delta))
-    w = Window.partitionBy(*by).orderBy("__a")
-    rank = F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(*by, "__a")) - 1) / 2
-    rows = rows.withColumn("__r", rank)
-    plus, minus = (F.sum(F.when(F.expr(f"{delta} {op} 0"), F.col("__r")).otherwise(0.0)) for op in (">", "<"))
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), plus.alias("w_plus"), minus.alias("w_minus"))
+    g = _signed_sums(df, by, delta)
+    return g.select(*by, "n", F.col("plus").cast("double").alias("w_plus"), F.col("minus").cast("double").alias("w_minus"))
+
+
+def _signed_sums(df: DataFrame, by: list[str], delta: str) -> DataFrame:
+    """(by, n, plus, minus, ties): rank sums of differences above and below 0, and the sum of t^3 - t over sizes that t share.
+
+    Equal sizes are counted first, so ranks are sums over distinct sizes.
+    """
+    sizes = df.where(f"{delta} <> 0").groupBy(*by, F.abs(delta).alias("__a")).agg(F.count("*").alias("t"), F.sum(F.expr(f"CASE WHEN {delta} > 0 THEN 1 ELSE 0 END")).alias("up"))
+    rank = F.col("t_upto") - F.col("t") + (F.col("t") + 1) / 2
+    t = F.col("t").cast("double")
+    rows = running_by_value(sizes, by, "__a", ["t"]).withColumn("r", rank)
+    return rows.groupBy(*by).agg(F.sum("t").alias("n"), F.sum(F.col("r") * F.col("up")).alias("plus"), F.sum(F.col("r") * (F.col("t") - F.col("up"))).alias("minus"), F.sum(t * t * t - t).alias("ties"))
 
 
 def exact_signed_rank_p(n: Column, w: Column) -> Column:
@@ -86,13 +96,9 @@ def signed_rank_test(df: DataFrame, by: list[str], delta: str, most_exact: int =
 
     Up to `most_exact` differences without zeros or ties the p-value is exact; beyond, or with ties, it comes from the
     normal law with the variance corrected for ties. Zero differences and nulls are left out; a group of nothing else
-    gives no row. Equal differences are counted first, so ranks are sums over distinct sizes.
+    gives no row.
     """
-    sizes = df.where(f"{delta} <> 0").groupBy(*by, F.abs(delta).alias("__a")).agg(F.count("*").alias("__t"), F.sum(F.expr(f"CASE WHEN {delta} > 0 THEN 1 ELSE 0 END")).alias("__up"))
-    earlier = Window.partitionBy(*by).orderBy("__a").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum("__t").over(earlier), F.lit(0)) + (F.col("__t") + 1) / 2
-    t = F.col("__t").cast("double")
-    g = sizes.withColumn("__r", rank).groupBy(*by).agg(F.sum("__t").alias("n"), F.sum(F.col("__r") * F.col("__up")).alias("plus"), F.sum(F.col("__r") * (F.col("__t") - F.col("__up"))).alias("minus"), F.sum(t * t * t - t).alias("ties"))
+    g = _signed_sums(df, by, delta)
     n, w = F.col("n"), F.least("plus", "minus")
     m = n.cast("double")
     sd = F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("ties") / 48)
@@ -116,48 +122,10 @@ def normal_below(z: Column) -> Column:
     return F.when(z <= 0, upper).otherwise(1 - upper)
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: list[float], parts: int = 64) -> DataFrame:
-    """(by, n, quantiles): exact percentiles of a group's values, between two values in proportion; nulls and NaN left out.
-
-    Equal values are counted first. A sketch of bounded size cuts each group's values into `parts` ranges of about as
-    many rows; counts of ranges are added up in order and values are sorted inside their range only, so no task sees all
-    values of a group. The sketch decides who sorts what, never what comes out.
-    """
-    names = [f"__{c}" for c in by]
-    v = F.col(value).cast("double")
-    kept = df.where(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("__v"))
-    cuts = F.percentile_approx("__v", [k / parts for k in range(1, parts)], 1000)
-    edges = kept.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)]).agg(F.count("*").alias("n"), cuts.alias("__edges"))
-    on = F.lit(True)
-    for c, n in zip(by, names, strict=True):
-        on = on & F.col(c).eqNullSafe(F.col(n))
-    counts = kept.groupBy(*by, "__v").agg(F.count("*").alias("__t"))
-    met = counts.join(edges, on).withColumn("__part", F.size(F.filter("__edges", lambda e: e < F.col("__v")))).drop("__edges", *names)
-    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
-    sizes = met.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.col("__part").alias("__of")).agg(F.sum("__t").alias("__s"))
-    before = sizes.select(*names, "__of", F.coalesce(F.sum("__s").over(earlier.partitionBy(*names).orderBy("__of")), F.lit(0)).alias("__before"))
-    on_part = F.col("__part") == F.col("__of")
-    for c, n in zip(by, names, strict=True):
-        on_part = on_part & F.col(c).eqNullSafe(F.col(n))
-    inside = F.sum("__t").over(Window.partitionBy(*by, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
-    upto = met.withColumn("__inside", inside).join(before, on_part).withColumn("__upto", F.col("__before") + F.col("__inside"))
-
-    def at(rank: Column) -> Column:  # the value at a place from 0
-        return F.min(F.when(F.col("__upto") > rank, F.col("__v")))
-
-    found = []
-    for p in probabilities:
-        rank = (F.col("n") - 1) * p
-        found += [at(F.floor(rank)), at(F.ceil(rank))]
-    held = upto.groupBy(*by, "n").agg(*[x.alias(f"__q{k}") for k, x in enumerate(found)])
-    between = [F.col(f"__q{2 * k}") + (F.col(f"__q{2 * k + 1}") - F.col(f"__q{2 * k}")) * ((F.col("n") - 1) * p - F.floor((F.col("n") - 1) * p)) for k, p in enumerate(probabilities)]
-    return held.select(*by, "n", F.array(*between).alias("quantiles"))
-
-
 def calibration(df: DataFrame, predicted: str, actual: str, bins: int = 10) -> DataFrame:
     """Per quantile bin of the prediction: bin, n, mean_predicted, mean_actual, mae; equal edges make one bin."""
     cuts = [k / bins for k in range(1, bins)]
-    edges = df.agg(F.array_distinct(F.percentile(predicted, F.array(*[F.lit(c) for c in cuts]))).alias("edges"))
+    edges = exact_quantiles(df, [], predicted, cuts).select(F.array_distinct("quantiles").alias("edges"))
     b = df.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: F.col(predicted) > e)))
     return b.groupBy("bin").agg(F.count("*").alias("n"), F.avg(predicted).alias("mean_predicted"), F.avg(actual).alias("mean_actual"), F.avg(F.abs(F.col(predicted) - F.col(actual))).alias("mae"))
 

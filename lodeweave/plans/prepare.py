@@ -9,6 +9,7 @@ from lodeweave.functions import hashing, text
 from lodeweave.operators import corpus as C
 from lodeweave.operators import metrics as M
 from lodeweave.operators import splits as Sp
+from lodeweave.operators.order import exact_quantiles
 
 QUERIES: dict = {}
 
@@ -135,7 +136,7 @@ def _(s, d):
 @_add("f17_winsorise", "WITH q AS (SELECT quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM events) SELECT event_id, round(least(greatest(value, lo), hi), 6) AS value FROM events, q")
 def _(s, d):
     e = _t(s, d, "events").select("event_id", "value")
-    q = e.agg(F.percentile("value", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
+    q = exact_quantiles(e, [], "value", [0.05, 0.95]).select(F.col("quantiles").alias("q"))
     return e.crossJoin(F.broadcast(q)).select("event_id", F.round(F.least(F.greatest("value", F.col("q")[0]), F.col("q")[1]), 6).alias("value"))
 
 
@@ -300,8 +301,9 @@ def _(s, d):
 
 @_add("x27_clip_bounds", "SELECT event_type, round(greatest(quantile_cont(value, 0.01), -100), 6) AS low, round(least(quantile_cont(value, 0.99), 100), 6) AS high FROM events GROUP BY 1")
 def _(s, d):
-    q = F.percentile("value", F.array(F.lit(0.01), F.lit(0.99)))
-    return _t(s, d, "events").groupBy("event_type").agg(F.round(F.greatest(q[0], F.lit(-100.0)), 6).alias("low"), F.round(F.least(q[1], F.lit(100.0)), 6).alias("high"))
+    q = F.col("quantiles")
+    out = exact_quantiles(_t(s, d, "events"), ["event_type"], "value", [0.01, 0.99])
+    return out.select("event_type", F.round(F.greatest(q[0], F.lit(-100.0)), 6).alias("low"), F.round(F.least(q[1], F.lit(100.0)), 6).alias("high"))
 
 
 @_add("j01_inner_join", "SELECT l.doc_id, d.lang, l.quality FROM labels l JOIN documents d USING (doc_id)")
