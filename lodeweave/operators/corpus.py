@@ -120,3 +120,35 @@ def row_slices(df: DataFrame, order: str, shards: int) -> DataFrame:
     out = parts.withColumn("__in", place).join(F.broadcast(before.select("__part", "__before")), "__part").crossJoin(F.broadcast(total))
     i = F.col("__before") + F.col("__in")
     return out.withColumn("shard", F.floor(((i + 1) * shards - 1) / F.col("__all")).cast("int")).drop("__part", "__in", "__before", "__all")
+
+
+#: Columns that are never labels.
+NO_LABELS = {"smiles", "split", "id", "graph"}
+
+
+def label_columns(columns: list[str], others: set[str] = frozenset()) -> list[str]:
+    """The columns that are labels: all but `NO_LABELS` and others, without regard to case, in their order."""
+    out = {c.lower() for c in NO_LABELS | set(others)}
+    return [c for c in columns if c.lower() not in out]
+
+
+def normalised(c: Column) -> Column:
+    """A name for comparing: lower case, letters and digits alone."""
+    return F.regexp_replace(F.lower(c), r"[^a-z0-9]", "")
+
+
+def skipping(df: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """df without the rows whose name is one of `names`, a short list of a user, compared as `normalised`; nulls stay."""
+    held = {"".join(x for x in n.lower() if x.isascii() and x.isalnum()) for n in names}
+    return df.where(~F.coalesce(normalised(F.col(column)).isin(*held), F.lit(False))) if held else df
+
+
+def parsable(df: DataFrame, good: Column, split: str) -> tuple[DataFrame, DataFrame]:
+    """(rows for which `good` holds, counts (split, kept, dropped) of all); a null counts as not good."""
+    ok = F.coalesce(good, F.lit(False))
+    return df.where(ok), df.groupBy(split).agg(F.sum(ok.cast("long")).alias("kept"), F.sum((~ok).cast("long")).alias("dropped"))
+
+
+def sorted_json(pairs: Column) -> Column:
+    """A map of text as JSON with its keys in order, without white space."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(pairs))))

@@ -120,3 +120,28 @@ def scorer(name: str):
     if name not in known:
         raise ValueError(f"unknown metric: {name}")
     return known[name]
+
+
+def masked_accuracy(df: DataFrame, by: list[str], label: str, predicted: str, ignored: int = -100) -> DataFrame:
+    """(by, n, accuracy) over places whose label isn't `ignored` or null; a place without a prediction is wrong. Groups without such a place have n 0 and no accuracy."""
+    counts = F.col(label).isNotNull() & (F.col(label) != ignored)
+    right = F.coalesce(F.col(label) == F.col(predicted), F.lit(False))
+    n, hit = F.sum(F.coalesce(counts, F.lit(False)).cast("long")), F.sum((F.coalesce(counts, F.lit(False)) & right).cast("long"))
+    return df.groupBy(*by).agg(n.alias("n"), (hit / F.nullif(n, F.lit(0))).alias("accuracy"))
+
+
+def perplexity(loss: Column) -> Column:
+    """exp(loss); infinite where that overflows, null for null."""
+    return F.when(loss > 700, F.lit(float("inf"))).otherwise(F.exp(loss))
+
+
+def weighted_mean(df: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
+    """(by, weighted_mean) over rows with both; null without weight."""
+    rows = df.where(F.col(value).isNotNull() & F.col(weight).isNotNull())
+    return rows.groupBy(*by).agg((F.sum(F.col(value) * F.col(weight)) / F.nullif(F.sum(weight), F.lit(0))).alias("weighted_mean"))
+
+
+def averaged_auroc(df: DataFrame, endpoint: str) -> DataFrame:
+    """One row: micro, the AUROC over the pairs of all endpoints as one, and macro, the mean over endpoints with both classes."""
+    micro = auroc(df.withColumn("__all", F.lit(0)), ["__all"]).agg(F.first("auroc").alias("micro"))
+    return micro.join(mean_auroc(df, endpoint).select(F.col("mean_auroc").alias("macro"), "n_endpoints"))

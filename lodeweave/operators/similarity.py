@@ -55,6 +55,39 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int, block_bytes: int = 3
     return best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def alike_counts(queries: DataFrame, targets: DataFrame, least: float, block_bytes: int = 32 << 20) -> DataFrame:
+    """(query, target, similarity) of count vectors whose Tanimoto similarity is `least` or more; ids differ.
+
+    queries: (query, vector), a set that the caller states; targets: (target, vector). As in `nearest`, queries go through
+    in blocks and targets are never moved. Null vectors find nothing; two without counts have similarity 0.
+    """
+    from lodeweave.operators.kernels import similarities
+
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
+    blocks = max(1, -(-size["n"] * 8 * max(1, size["d"] or 1) // block_bytes))
+    whole = targets.where("vector IS NOT NULL AND size(vector) > 0").select(F.col("target").cast("long").alias("target"), F.col("vector").cast("array<double>").alias("vector"))
+    found = queries.sparkSession.createDataFrame([], "query long, target long, similarity double")
+    for b in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).select("query", F.col("vector").cast("array<double>").alias("vector")).toLocalIterator()
+        held = [(r["query"], r["vector"]) for r in rows if r["vector"]]
+        if not held:
+            continue
+        names, z = np.array([q for q, _ in held]), np.array([v for _, v in held], float)
+
+        def run(batches: Iterator[pa.RecordBatch], names=names, z=z) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    part = batch.slice(at, 1024)
+                    x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                    ids = part.column(0).to_numpy(zero_copy_only=False)
+                    s = similarities(x, z)
+                    i, j = np.nonzero((s >= least) & (ids[:, None] != names[None, :]))
+                    yield pa.RecordBatch.from_pydict({"query": pa.array(names[j], pa.int64()), "target": pa.array(ids[i], pa.int64()), "similarity": pa.array(s[i, j], pa.float64())})
+
+        found = found.unionByName(whole.mapInArrow(run, "query long, target long, similarity double"))
+    return found
+
+
 def _units(x: np.ndarray) -> np.ndarray:
     """Rows of length one; NaN for rows without a direction."""
     norm = np.sqrt((x * x).sum(1, keepdims=True))

@@ -429,3 +429,41 @@ def _(s, d):
     q = St.quotas(docs.groupBy("source").agg(F.count("*").alias("size")), "source", "size", 100)
     u = draw(13, "sample", "doc_id")
     return placed(docs, ["source"], u, ["doc_id"]).join(F.broadcast(q), "source").where("place < quota").select("source", "doc_id")
+
+
+@_add("g30_micro_macro", _Y + ", m AS (" + _AUROC.format(by="endpoint") + "), a AS (SELECT *, 0 AS everything FROM y) SELECT (SELECT round(auroc, 6) FROM (" + _AUROC.format(by="everything").replace("FROM y)", "FROM a)") + ")) AS micro, round(avg(auroc), 6) AS macro, count(*) AS n_endpoints FROM m")
+def _(s, d):
+    out = M.averaged_auroc(_y(s, d), "endpoint")
+    return out.select(F.round("micro", 6).alias("micro"), F.round("macro", 6).alias("macro"), "n_endpoints")
+
+
+@_add("g40_masked_accuracy", "SELECT event_type, count(*) FILTER (user_id % 5 <> 0) AS n, round(count(*) FILTER (user_id % 5 <> 0 AND user_id % 7 = event_id % 7) / count(*) FILTER (user_id % 5 <> 0), 6) AS accuracy FROM events GROUP BY 1")
+def _(s, d):
+    e = _t(s, d, "events").select("event_type", F.when(F.col("user_id") % 5 == 0, -100).otherwise(F.col("user_id") % 7).alias("label"), (F.col("event_id") % 7).alias("predicted"))
+    return M.masked_accuracy(e, ["event_type"], "label", "predicted").withColumn("accuracy", F.round("accuracy", 6))
+
+
+@_add("g48_weighted_mean", "SELECT event_type, round(sum(value * user_id) / sum(user_id), 6) AS weighted_mean FROM events GROUP BY 1")
+def _(s, d):
+    return M.weighted_mean(_t(s, d, "events"), ["event_type"], "value", "user_id").withColumn("weighted_mean", F.round("weighted_mean", 6))
+
+
+@_add("g32_category_counts", "SELECT least(greatest(floor((embedding[1] + 0.5) / 1.0 * 8), 0), 7)::INTEGER AS px, label, count(*) AS n FROM embeddings GROUP BY 1, 2")
+def _(s, d):
+    px = F.least(F.greatest(F.floor((F.col("embedding")[0].cast("double") + 0.5) * 8), F.lit(0)), F.lit(7)).cast("int")
+    return _t(s, d, "embeddings").groupBy(px.alias("px"), "label").agg(F.count("*").alias("n"))
+
+
+@_add("x15_scaled_by_training_rows", "WITH t AS (SELECT avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS sd FROM customer WHERE c_custkey % 10 <> 0) SELECT c_custkey, round((c_acctbal - m) / sd, 6) AS scaled FROM customer, t")
+def _(s, d):
+    c = _t(s, d, "customer")
+    m = c.where("c_custkey % 10 <> 0").agg(F.avg("c_acctbal").alias("m"), F.stddev_pop("c_acctbal").alias("sd"))
+    return c.join(F.broadcast(m)).select("c_custkey", F.round((F.col("c_acctbal") - F.col("m")) / F.col("sd"), 6).alias("scaled"))
+
+
+@_add("j17_count_similarity", "WITH w AS (SELECT vec_id, list_transform(embedding, lambda x: floor(abs(x) * 20)::DOUBLE) AS c FROM embeddings) SELECT vec_id, target, round(similarity, 6) AS similarity FROM (SELECT a.vec_id, b.vec_id AS target, coalesce(list_sum(list_transform(list_zip(a.c, b.c), lambda p: least(p[1], p[2]))) / nullif(list_sum(list_transform(list_zip(a.c, b.c), lambda p: greatest(p[1], p[2]))), 0), 0) AS similarity FROM w a JOIN w b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) WHERE similarity >= 0.4")
+def _(s, d):
+    c = F.transform("embedding", lambda x: F.floor(F.abs(x) * 20).cast("double"))
+    rows = _t(s, d, "embeddings").select("vec_id", c.alias("c"))
+    out = S.alike_counts(rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("c").alias("vector")), rows.select(F.col("vec_id").alias("target"), F.col("c").alias("vector")), 0.4)
+    return out.select(F.col("query").alias("vec_id"), "target", F.round("similarity", 6).alias("similarity"))

@@ -460,3 +460,45 @@ _ASSAY = {"se": "CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE abs(c_acctbal) / 100
 def _(s, d):
     rows = _t(s, d, "customer").select("c_custkey", *[F.expr(e.replace("10e0", "10.0D")).alias(k) for k, e in _ASSAY.items()])
     return rows.select("c_custkey", F.round(M.noise(F.col("se"), F.col("delta"), F.col("has"), F.col("emax"), 0.3, 0.2), 6).alias("noise"))
+
+
+@_add("u07_ordered_distinct", "SELECT page_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ',') AS words FROM (SELECT page_id, list_concat(regexp_extract_all(url, '[a-z]+'), list_reverse(regexp_extract_all(url, '[a-z]+'))) AS w FROM pages)")
+def _(s, d):
+    words = F.regexp_extract_all("url", F.lit("[a-z]+"), F.lit(0))
+    return _t(s, d, "pages").select("page_id", F.array_join(F.array_distinct(F.concat(words, F.reverse(words))), ",").alias("words"))
+
+
+@_add("f18_label_columns", "SELECT column_name, row_number() OVER () - 1 AS ordinal FROM (DESCRIBE SELECT * EXCLUDE (doc_id) FROM labels)")
+def _(s, d):
+    return s.createDataFrame([(n, i) for i, n in enumerate(C.label_columns(_t(s, d, "labels").columns, {"Doc_ID"}))], "column_name string, ordinal long")
+
+
+@_add("f20_skipped_names", "SELECT p_partkey, p_brand FROM part WHERE regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') NOT IN ('brand11', 'brand3')")
+def _(s, d):
+    return C.skipping(_t(s, d, "part"), "p_brand", ["BRAND 11", "brand_3"]).select("p_partkey", "p_brand")
+
+
+@_add("f13_unparsable_rows", "SELECT l_linestatus AS split, count(*) FILTER (l_returnflag = 'N') AS kept, count(*) FILTER (l_returnflag <> 'N') AS dropped FROM lineitem GROUP BY 1")
+def _(s, d):
+    rows = _t(s, d, "lineitem").select(F.col("l_linestatus").alias("split"), "l_returnflag")
+    return C.parsable(rows, text.looks_like_smiles(F.col("l_returnflag")), "split")[1]
+
+
+@_add("x26_iso_timestamps", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events")
+def _(s, d):
+    # timestamps without a zone are UTC already
+    return _t(s, d, "events").select("event_id", F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"))
+
+
+@_add("j03_first_row_two_keys", "SELECT c_custkey, first_part FROM customer JOIN (SELECT c_nationkey AS k1, c_mktsegment AS k2, min(c_custkey) AS first_part FROM customer GROUP BY 1, 2) ON k1 = c_nationkey AND k2 = c_mktsegment")
+def _(s, d):
+    c = _t(s, d, "customer")
+    first = c.groupBy(F.col("c_nationkey").alias("k1"), F.col("c_mktsegment").alias("k2")).agg(F.min_by("c_custkey", "c_custkey").alias("first_part"))
+    return c.join(first, (F.col("k1") == F.col("c_nationkey")) & (F.col("k2") == F.col("c_mktsegment"))).select("c_custkey", "first_part")
+
+
+@_add("x19_sorted_json", "SELECT p_partkey, concat('{\"brand\":\"', p_brand, '\",\"size\":\"', p_size, '\",\"type\":\"', p_type, '\"}') AS json, substr(sha256(concat('{\"brand\":\"', p_brand, '\",\"size\":\"', p_size, '\",\"type\":\"', p_type, '\"}')), 1, 16) AS version FROM part")
+def _(s, d):
+    pairs = F.create_map(F.lit("type"), "p_type", F.lit("size"), F.col("p_size").cast("string"), F.lit("brand"), "p_brand")
+    json = C.sorted_json(pairs)
+    return _t(s, d, "part").select("p_partkey", json.alias("json"), F.substring(F.sha2(json, 256), 1, 16).alias("version"))

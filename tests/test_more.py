@@ -227,3 +227,34 @@ def test_writers(spark, tmp_path):
     assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "cnt")).columns == ["token", "n"]
     with pytest.raises(ValueError):
         writers.write_symbols(counts, str(tmp_path / "x"), "other")
+
+
+def test_small_operators(spark):
+    assert corpus.label_columns(["SMILES", "a", "Split", "b", "Graph", "seed"], {"SEED"}) == ["a", "b"]
+    df = spark.createDataFrame([("Brand-1",), ("BRAND 2",), (None,), ("é",)], "n string")
+    assert [r.n for r in corpus.skipping(df, "n", ["brand_2"]).collect()] == ["Brand-1", None, "é"]
+    assert corpus.skipping(df, "n", []).count() == 4
+    kept, n = corpus.parsable(spark.createDataFrame([("a", True), ("a", None), ("b", False)], "s string, ok boolean"), F.col("ok"), "s")
+    assert kept.count() == 1 and {(r.s, r.kept, r.dropped) for r in n.collect()} == {("a", 1, 1), ("b", 0, 1)}
+    rows = [("x", 1, 1), ("x", 2, None), ("x", -100, 3), ("y", None, 1), ("y", -100, 1)]
+    acc = {r.g: (r.n, r.accuracy) for r in metrics.masked_accuracy(spark.createDataFrame(rows, "g string, label int, p int"), ["g"], "label", "p").collect()}
+    assert acc == {"x": (2, 0.5), "y": (0, None)}
+    p = [r.p for r in spark.createDataFrame([(0.0,), (800.0,), (None,)], "l double").select(metrics.perplexity(F.col("l")).alias("p")).collect()]
+    assert p == [1.0, float("inf"), None]
+    means = {r.g: r.weighted_mean for r in metrics.weighted_mean(spark.createDataFrame([("a", 1.0, 3.0), ("a", 5.0, 1.0), ("a", None, 9.0), ("b", 1.0, 0.0)], "g string, v double, w double"), ["g"], "v", "w").collect()}
+    assert means == {"a": 2.0, "b": None}
+    one = spark.createDataFrame([("m",)], "k string").select(corpus.sorted_json(F.create_map(F.lit("z"), F.lit("1"), F.lit("a"), F.lit("é"))).alias("j")).first()
+    assert one.j == '{"a":"é","z":"1"}'
+
+
+def test_alike_counts_equal_a_loop_in_any_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 4, size=(60, 6))
+    x[3] = 0
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(90, None)], "target long, vector array<long>").repartition(3)
+    q = t.where("target % 3 = 0").withColumnRenamed("target", "query")
+    want = {(i, j) for i in range(0, 60, 3) for j in range(60) if i != j and np.maximum(x[i], x[j]).sum() and np.minimum(x[i], x[j]).sum() / np.maximum(x[i], x[j]).sum() >= 0.5}
+    for block_bytes in (100, 32 << 20):
+        assert {(r["query"], r.target) for r in similarity.alike_counts(q, t, 0.5, block_bytes).collect()} == want
