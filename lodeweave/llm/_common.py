@@ -14,12 +14,18 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) is a local folder taken.
+    Where the session names none a local folder is taken if driver and executors are one process (tests); on a cluster
+    that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = set_before.get() if set_before.isDefined() else f"file://{tempfile.gettempdir()}/checkpoints"
+        if set_before.isDefined():
+            found = set_before.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            found = f"file://{tempfile.gettempdir()}/checkpoints"
+        else:
+            raise ValueError("name a folder that all nodes share in spark.checkpoint.dir")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(found)
     return found
