@@ -122,17 +122,20 @@ def train(docs: DataFrame, fit_docs: int = FIT_DOCS) -> ByteCNN | None:
     """Fits on a bounded sample of labelled documents that are not held out; None if there are none.
 
     Rows are picked by a hash of their id, a share of each language that gives about `fit_docs`, and give windows at
-    places picked by the same hash.
+    places picked by the same hash. Rows that give the same windows count once, and the sample ends at twice its size.
     """
     known = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(fit_docs / n)) for k, n in sorted(sizes.items())])
-    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < share * 1_000_000)
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 52))
+    picked = known.where(drawn < share * (1 << 52))
     places = F.array(*[(F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.length("text") - WINDOW + 1, F.lit(1))) + 1).cast("int") for k in range(FIT_WINDOWS)])
     text = F.col("text")
-    rows = picked.select("doc_id", "lang", F.transform(F.array_distinct(places), lambda at: text.substr(at, F.lit(WINDOW))).alias("parts")).collect()
+    parts = picked.select("doc_id", "lang", drawn.alias("drawn"), F.transform(F.array_distinct(places), lambda at: text.substr(at, F.lit(WINDOW))).alias("parts")).distinct()
+    # rows that repeat an id come together: at most twice as many as meant go to the driver
+    rows = parts.orderBy("drawn", "doc_id", "lang", "parts").limit(2 * fit_docs * len(sizes)).drop("drawn").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["parts"]))
     labels = sorted(sizes)
     # every third window is cut short, since many texts are

@@ -175,13 +175,16 @@ def fitted_scores(docs: DataFrame, labels: DataFrame, keep: list[str], fit_rows:
     """The scores of all documents as a written table, and the cut.
 
     The raw model counts all texts. The target model counts the texts of a bounded sample, picked by a hash of the id,
-    of those labelled quality = 1, one half of it; the cut is where the other half parts best. Labels that repeat an id count once.
+    of those labelled quality = 1, one half of it; the cut is where the other half parts best. Labels that repeat an id count once; of texts that
+    repeat an id the first in order is in the sample.
     """
     raw = bucket_counts(docs)
     ids = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("__quality"))
     share = min(1.0, fit_rows / max(1, ids.count()))
-    ids = ids.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(1_000_000)) < share * 1_000_000).withColumnRenamed("doc_id", "__label_id")
-    sample = written(docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__label_id")).drop("__label_id"), "labelled")
+    ids = ids.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(1 << 52)) < share * (1 << 52)).withColumnRenamed("doc_id", "__label_id")
+    # one text an id, so rows that repeat an id don't make the sample larger
+    sample = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__label_id")).groupBy("doc_id", "__quality").agg(F.min("text").alias("text"))
+    sample = written(sample, "labelled")
     # the model has seen the texts it is fitted on, so the cut comes from the other half
     fit = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 2)), F.lit(2)) == 0
     ratio = log_ratio(bucket_counts(sample.where(fit & (F.col("__quality") == 1))), raw)
