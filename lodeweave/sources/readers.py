@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeweave.functions.hashing import draw
 from lodeweave.functions.text import stripped
 
 #: Names under which splits are stored.
@@ -90,3 +91,21 @@ def run_names(df: DataFrame, column: str) -> DataFrame:
     pattern = r"mask_(.+?)__mlm_([0-9p.]+)__lr_([0-9pe.\-]+)"
     number = lambda k: F.replace(F.regexp_extract(column, pattern, k), F.lit("p"), F.lit(".")).try_cast("double")
     return df.withColumn("strategy", F.nullif(F.regexp_extract(column, pattern, 1), F.lit(""))).withColumn("mlm_probability", number(2)).withColumn("learning_rate", number(3))
+
+
+def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The first n rows in an order, all if there are fewer; fewer than one is an error."""
+    if n < 1:
+        raise ValueError("take one row at least")
+    return df.orderBy(order).limit(n)
+
+
+def collected(df: DataFrame, column: str, n: int, seed: int) -> DataFrame:
+    """(sequence): n of the column's filled values, stripped, in the order of a hash of seed and value; all if there are fewer, an error if there is none.
+
+    Equal values come together. Only the n are sorted in one place.
+    """
+    rows = df.select(stripped(F.col(column)).alias("sequence")).where("sequence IS NOT NULL")
+    if rows.isEmpty():
+        raise ValueError("the corpus has no sequence")
+    return rows.orderBy(draw(seed, "collect", "sequence"), "sequence").limit(n)

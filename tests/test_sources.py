@@ -38,9 +38,9 @@ def test_ragged_rows_meet_by_name(spark, tmp_path):
 
 
 def test_run_names(spark):
-    df = spark.createDataFrame([("mask_hetero_span__mlm_0p15__lr_1e-4",), ("other",)], "name string")
+    df = spark.createDataFrame([("mask_standard__mlm_0p3__lr_2p5e-5",), ("other",)], "name string")
     got = [tuple(r)[1:] for r in readers.run_names(df, "name").collect()]
-    assert got == [("hetero_span", 0.15, 1e-4), (None, None, None)]
+    assert got == [("standard", 0.3, 2.5e-5), (None, None, None)]
 
 
 def test_shards_are_equal_slices_and_splits_are_found(spark, tmp_path):
@@ -61,3 +61,35 @@ def test_stream_gives_what_a_batch_gives_and_resumes(spark, tmp_path):
     spark.range(50, 80).write.mode("append").parquet(src)
     files.run_once(files.file_stream(spark, src, "id long"), keep, out, at)
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [i for i in range(80) if i % 3 == 0]
+
+
+def test_separators_gzip_and_result_frames(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a.csv").write_text('id,name\n1,"x, y"\n2,\n')
+    (tmp_path / "b.tsv").write_text("id\tname\n3\tz\n")
+    with gzip.open(tmp_path / "c.csv.gz", "wt") as f:
+        f.write("id,name\n4,zipped\n")
+    rows = [tuple(r) for n in ("a.csv", "b.tsv", "c.csv.gz") for r in readers.read_table(spark, str(tmp_path / n)).collect()]
+    assert rows == [("1", "x, y"), ("2", None), ("3", "z"), ("4", "zipped")]
+    typed = readers.read_table(spark, str(tmp_path / "a.csv"), "id long, name string")
+    assert typed.schema["id"].dataType.simpleString() == "bigint" and typed.count() == 2
+    with pytest.raises(ValueError):
+        readers.read_table(spark, str(tmp_path / "a.xml"))
+
+
+def test_long_export_has_a_folder_for_each_metric(spark, tmp_path):
+    df = spark.createDataFrame([("a", "roc_auc", 0.5), ("b", "mae", 1.5), ("c", "mae", 2.0)], "model string, metric string, v double")
+    writers.write_by_metric(df, str(tmp_path / "out"), "metric")
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == ["metric=mae", "metric=roc_auc"]
+    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "metric=mae")).count() == 2
+
+
+def test_first_rows_of_a_source(spark):
+    df = spark.createDataFrame([(3,), (1,), (2,)], "id int")
+    assert [r.id for r in readers.first_rows(df, "id", 2).collect()] == [1, 2] and readers.first_rows(df, "id", 9).count() == 3
+    with pytest.raises(ValueError):
+        readers.first_rows(df, "id", 0)
+    assert [r.sequence for r in readers.collected(df.select(F.col("id").cast("string").alias("s")).union(spark.createDataFrame([(" ",), (None,)], "s string")), "s", 3, 5).orderBy("sequence").collect()] == ["1", "2", "3"]
+    with pytest.raises(ValueError):
+        readers.collected(df.limit(0).select(F.col("id").cast("string").alias("s")), "s", 3, 5)
