@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.functions.hashing import draw
-from lodeweave.operators.tokens import SPECIALS
+from lodeweave.operators.tokens import SPECIALS, padded_batches
 
 #: Tokens that are never masked, and the pattern of tokens at which spans begin with another weight.
 NEVER = tuple(SPECIALS[t] for t in ("<s>", "<pad>", "</s>", "<mask>"))
@@ -154,3 +154,39 @@ def frozen_facts(df: DataFrame, ids: str = "ids", row: str = "row_id", never: It
     digest = F.sha2(F.concat_ws("|", F.col(row).cast("string"), joined("inputs"), joined("labels")), 256)
     facts = df.select(count(lambda x, label, given: _may(x, never)).alias("e"), count(lambda x, label, given: label != IGNORED).alias("m"), illegal.alias("bad"), F.conv(F.substring(digest, 1, 12), 16, 10).cast("decimal(38,0)").alias("f"))
     return facts.agg(F.count("*").alias("n_rows"), F.sum("e").alias("n_eligible"), F.sum("m").alias("n_masked"), (F.sum("m") / F.nullif(F.sum("e"), F.lit(0))).alias("fraction"), F.sum("bad").alias("n_illegal"), F.sum("f").alias("fingerprint"))
+
+
+def attention(ids: Column) -> Column:
+    """1 where a token is no padding, else 0."""
+    return F.transform(ids, lambda x: (x != SPECIALS["<pad>"]).cast("int"))
+
+
+def collated(df: DataFrame, strategy: str, p: float, seed: int, vocab: dict[str, int], row: str = "row_id", ids: str = "ids", batch: str = "batch", multiple: int = 1, p_geometric: float = 0.2, longest: int = 10, weight: float = 2.0) -> DataFrame:
+    """What a masked model is trained on: df without empty rows, and inputs, labels and attention, padded to the longest of a batch.
+
+    strategy is standard, span or hetero_span (spans that begin `weight` times as often at the tokens of `HETERO`); others
+    are errors, as is a frame in which no row has ids.
+    """
+    if strategy not in ("standard", "span", "hetero_span"):
+        raise ValueError(f"unknown strategy: {strategy}")
+    full = df.where(F.coalesce(F.size(ids), F.lit(0)) > 0)
+    if full.isEmpty():
+        raise ValueError("no row has ids")
+    rows = padded_batches(full, batch, ids, multiple=multiple)
+    if strategy == "standard":
+        rows = standard(rows, p, seed, row, ids, batch)
+    else:
+        rows = spans(rows, p, p_geometric, longest, seed, row, ids, start_weights(vocab, weight) if strategy == "hetero_span" else None)
+    rows = corrupted(rows, seed, len(vocab), row, ids)
+    return rows.withColumn("attention", attention(F.col(ids)))
+
+
+def pooled(hidden: Column, ids: Column, never: Iterable[int] = tuple(SPECIALS.values())) -> Column:
+    """The mean of the vectors (array of arrays) of tokens that aren't special; if all are, of those that are no padding; null if there is none."""
+
+    def mean(keep) -> Column:
+        held = F.filter(F.arrays_zip(hidden.alias("h"), ids.alias("x")), lambda z: keep(z["x"]))
+        total = F.aggregate(F.slice(held, 2, F.greatest(F.size(held) - 1, F.lit(0))), held[0]["h"], lambda a, z: F.zip_with(a, z["h"], lambda x, y: x + y))
+        return F.when(F.size(held) > 0, F.transform(total, lambda x: x / F.size(held)))
+
+    return F.coalesce(mean(lambda x: ~x.isin(*never)), mean(lambda x: x != SPECIALS["<pad>"]))

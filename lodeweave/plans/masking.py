@@ -109,3 +109,19 @@ def _(s, d):
 def _(s, d):
     facts = M.frozen_facts(M.corrupted(M.standard(_rows(s, d), _P, _SEED), _SEED, len(_VOCAB)))
     return facts.withColumn("fraction", F.round("fraction", 6)).withColumn("fingerprint", F.col("fingerprint").cast("long"))
+
+
+# eight tokens of eight numbers each; ids below 5 are special, 1 is padding
+_TOKENS = """
+t AS (SELECT vec_id, k, CASE WHEN vec_id % 4 = 0 THEN k % 3 ELSE (vec_id * 7 + k * 3) % 9 END AS id, unnest(embedding[8 * k + 1:8 * k + 8])::DOUBLE AS v, unnest(range(8)) AS dim FROM embeddings, range(8) r(k)),
+n AS (SELECT vec_id, dim, avg(v) FILTER (id > 4) AS free, avg(v) FILTER (id <> 1) AS seen FROM t GROUP BY 1, 2)"""
+
+
+@_add("t17_special_pooling", f"WITH {_TOKENS} SELECT vec_id, round(sum(coalesce(free, seen)), 6) AS total, round(max(coalesce(free, seen)), 6) AS largest FROM n GROUP BY 1")
+def _(s, d):
+    e = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    places = F.sequence(F.lit(0), F.lit(7))
+    hidden = F.transform(places, lambda k: F.slice("e", 8 * k + 1, 8))
+    ids = F.transform(places, lambda k: F.when(F.col("vec_id") % 4 == 0, k % 3).otherwise((F.col("vec_id") * 7 + k * 3) % 9).cast("int"))
+    rows = e.select("vec_id", hidden.alias("hidden"), ids.alias("ids")).select("vec_id", M.pooled(F.col("hidden"), F.col("ids")).alias("p"))
+    return rows.select("vec_id", F.round(F.aggregate("p", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.array_max("p"), 6).alias("largest"))

@@ -109,3 +109,31 @@ def test_wrong_parameters_are_errors(spark):
     assert tokens.SPECIALS["<mask>"] == 4
     empty = masking.spans(df.limit(0), 0.1, 0.5, 3, 1)
     assert empty.count() == 0 and masking.standard(df.limit(0), 0.1, 1).count() == 0
+
+
+@pytest.mark.parametrize("strategy", ["standard", "span", "hetero_span"])
+def test_collated_batches_are_whole(spark, strategy):
+    rows, df = rows_of(spark, 40, 20)
+    vocab = {**tokens.SPECIALS, **{f"[{'N' if i % 3 else 'C'}{i}]": i for i in range(5, 30)}}
+    out = masking.collated(df, strategy, 0.3, 7, vocab, multiple=8).collect()
+    assert len(out) == sum(bool(ids) for _, _, ids in rows)
+    by_batch = {}
+    for r in out:
+        by_batch.setdefault(r.batch, set()).add(len(r.ids))
+        assert len(r.ids) == len(r.inputs) == len(r.labels) == len(r.attention) and len(r.ids) % 8 == 0
+        assert r.attention == [int(x != 1) for x in r.ids]
+        assert all(label in (-100, x) and not (label != -100 and x in NEVER) for x, label in zip(r.ids, r.labels))
+    assert all(len(n) == 1 for n in by_batch.values())
+    if strategy != "standard":
+        assert all(any(x != -100 for x in r.labels) for r in out if any(x not in NEVER for x in r.ids))
+    with pytest.raises(ValueError):
+        masking.collated(df, "other", 0.3, 7, vocab)
+    with pytest.raises(ValueError):
+        masking.collated(df.where("size(ids) = 0"), strategy, 0.3, 7, vocab)
+
+
+def test_pooling_falls_back(spark):
+    rows = [(1, [[1.0, 2.0], [3.0, 6.0], [9.0, 9.0]], [5, 7, 2]), (2, [[1.0, 1.0], [5.0, 5.0], [9.0, 9.0]], [0, 2, 1]), (3, [[1.0, 1.0]], [1]), (4, [], [])]
+    df = spark.createDataFrame(rows, "k int, h array<array<double>>, ids array<int>")
+    got = {r.k: r.p for r in df.select("k", masking.pooled(F.col("h"), F.col("ids")).alias("p")).collect()}
+    assert got == {1: [2.0, 4.0], 2: [3.0, 3.0], 3: None, 4: None}
