@@ -235,12 +235,12 @@ def _(s, d):
     return wide.select("dataset", *[_r(f"emb{k}") for k in range(6)])
 
 
-@_add("g17_two_level_pivot", _WITH + "SELECT dataset, " + ", ".join(f"round(avg({m}) FILTER (model = '{h}'), 6) AS {m}_{h}" for m in ("cv_metric", "test_metric") for h in ("ridge", "rf")) + " FROM results WHERE model IN ('ridge', 'rf') GROUP BY 1")
+@_add("g17_two_level_pivot", _WITH + "SELECT dataset, " + ", ".join(f"round(avg({m}) FILTER (model = '{h}'), 9) AS {m}_{h}" for m in ("cv_metric", "test_metric") for h in ("ridge", "rf")) + " FROM results WHERE model IN ('ridge', 'rf') GROUP BY 1")
 def _(s, d):
     names = [f"{m}_{h}" for m in ("cv_metric", "test_metric") for h in ("ridge", "rf")]
     long = results(s, d).where("model IN ('ridge', 'rf')").unpivot(["dataset", "model"], ["cv_metric", "test_metric"], "metric", "value")
     wide = long.withColumn("cell", F.concat_ws("_", "metric", "model")).groupBy("dataset").pivot("cell", names).agg(F.avg("value"))
-    return wide.select("dataset", *[_r(c) for c in names])
+    return wide.select("dataset", *[_r(c, 9) for c in names])
 
 
 @_add("g18_unpivot", "SELECT p_partkey, measure, value FROM (SELECT p_partkey, p_size::DOUBLE AS size, p_retailprice AS price FROM part) UNPIVOT (value FOR measure IN (size, price))")
