@@ -108,7 +108,8 @@ def _(s, d):
 @_add("m06_frozen_set", f"{_CORRUPTED} SELECT count(*) AS n_rows, sum(e)::BIGINT AS n_eligible, sum(m)::BIGINT AS n_masked, round(sum(m) / sum(e), 6) AS fraction, 0::BIGINT AS n_illegal, sum(('0x' || substr(sha256(concat_ws('|', p_partkey, inputs, labels)), 1, 12))::BIGINT)::BIGINT AS fingerprint FROM rowed")
 def _(s, d):
     facts = M.frozen_facts(M.corrupted(M.standard(_rows(s, d), _P, _SEED), _SEED, len(_VOCAB)))
-    return facts.withColumn("fraction", F.round("fraction", 6)).withColumn("fingerprint", F.col("fingerprint").cast("long"))
+    # the sum outgrows a long from 2^16 rows or so: it wraps at 2^63
+    return facts.withColumn("fraction", F.round("fraction", 6)).withColumn("fingerprint", F.pmod("fingerprint", F.lit(str(1 << 63)).cast("decimal(38,0)")).cast("long"))
 
 
 # eight tokens of eight numbers each; ids below 5 are special, 1 is padding

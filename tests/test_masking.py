@@ -1,5 +1,6 @@
 """Masks against loops that draw one span after the other, their rules, and edge cases."""
 
+import decimal
 import hashlib
 import math
 import random
@@ -137,3 +138,13 @@ def test_pooling_falls_back(spark):
     df = spark.createDataFrame(rows, "k int, h array<array<double>>, ids array<int>")
     got = {r.k: r.p for r in df.select("k", masking.pooled(F.col("h"), F.col("ids")).alias("p")).collect()}
     assert got == {1: [2.0, 4.0], 2: [3.0, 3.0], 3: None, 4: None}
+
+
+def test_a_fingerprint_of_many_rows_wraps(spark, monkeypatch):
+    from lodeweave.plans import masking as plans
+
+    def facts(df, *a, **k):
+        return spark.createDataFrame([(1, 1, 1, 0.5, 0, decimal.Decimal((1 << 63) + 7))], "n_rows long, n_eligible long, n_masked long, fraction double, n_illegal long, fingerprint decimal(38,0)")
+
+    monkeypatch.setattr(masking, "frozen_facts", facts)
+    assert plans.QUERIES["m06_frozen_set"][0](spark, "/root/testdata/sf0.001").first().fingerprint == 7
