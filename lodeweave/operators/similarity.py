@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Queries and targets are compared in squares of this side: what a task holds doesn't grow with either.
+_TILE = 512
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -76,13 +80,13 @@ def alike_counts(queries: DataFrame, targets: DataFrame, least: float, block_byt
 
         def run(batches: Iterator[pa.RecordBatch], names=names, z=z) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    part = batch.slice(at, 1024)
+                for at, low in itertools.product(range(0, batch.num_rows, _TILE), range(0, len(names), _TILE)):
+                    part, some = batch.slice(at, _TILE), names[low : low + _TILE]
                     x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
                     ids = part.column(0).to_numpy(zero_copy_only=False)
-                    s = similarities(x, z)
-                    i, j = np.nonzero((s >= least) & (ids[:, None] != names[None, :]))
-                    yield pa.RecordBatch.from_pydict({"query": pa.array(names[j], pa.int64()), "target": pa.array(ids[i], pa.int64()), "similarity": pa.array(s[i, j], pa.float64())})
+                    s = similarities(x, z[low : low + _TILE])
+                    i, j = np.nonzero((s >= least) & (ids[:, None] != some[None, :]))
+                    yield pa.RecordBatch.from_pydict({"query": pa.array(some[j], pa.int64()), "target": pa.array(ids[i], pa.int64()), "similarity": pa.array(s[i, j], pa.float64())})
 
         found = found.unionByName(whole.mapInArrow(run, "query long, target long, similarity double"))
     return found
@@ -94,23 +98,43 @@ def _units(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.full_like(x, np.nan), where=(norm > 0) & np.isfinite(norm))
 
 
+def _better(similarity: np.ndarray, target: np.ndarray, s: np.ndarray, names: np.ndarray, ids: np.ndarray) -> None:
+    """Puts the pairs of a tile (names by ids) into the best so far, in place: rows fall by similarity, then rise by target."""
+    with np.errstate(invalid="ignore"):
+        s = np.round(s, 9)
+    s[~np.isfinite(s) | (names[:, None] == ids[None, :])] = -np.inf
+    k = similarity.shape[1]
+    # what is below a row's k-th best, so far or in the tile, cannot come in; equal ones may, by target
+    least = similarity[:, -1]
+    if s.shape[1] > k:
+        least = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
+    q, c = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+    if not len(q):
+        return
+    rows = np.unique(q)
+    held = np.repeat(rows, k)
+    owner = np.concatenate([held, q])
+    value, name = np.concatenate([similarity[rows].ravel(), s[q, c]]), np.concatenate([target[rows].ravel(), ids[c]])
+    order = np.lexsort((name, -value, owner))
+    owner, value, name = owner[order], value[order], name[order]
+    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    kept = place < k
+    similarity[owner[kept], place[kept]], target[owner[kept], place[kept]] = value[kept], name[kept]
+
+
 def _best_of_block(targets: DataFrame, names: np.ndarray, vectors: np.ndarray, k: int) -> DataFrame:
     units = _units(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        similarity, target = np.full((len(names), 0), -np.inf), np.zeros((len(names), 0), np.int64)
+        similarity, target = np.full((len(names), k), -np.inf), np.zeros((len(names), k), np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+            for at in range(0, batch.num_rows, _TILE):
+                part = batch.slice(at, _TILE)
+                x = _units(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1))
                 ids = part.column(0).to_numpy(zero_copy_only=False)
-                with np.errstate(invalid="ignore"):
-                    s = np.round(units @ _units(x).T, 9)
-                s[~np.isfinite(s) | (names[:, None] == ids[None, :])] = -np.inf
-                similarity = np.concatenate([similarity, s], 1)
-                target = np.concatenate([target, np.broadcast_to(ids, s.shape)], 1)
-                order = np.lexsort((target, -similarity), axis=1)[:, :k]
-                similarity, target = np.take_along_axis(similarity, order, 1), np.take_along_axis(target, order, 1)
+                for low in range(0, len(names), _TILE):
+                    own = slice(low, low + _TILE)
+                    _better(similarity[own], target[own], units[own] @ x.T, names[own], ids)
         q, c = np.nonzero(np.isfinite(similarity))
         yield pa.RecordBatch.from_pydict({"query": pa.array(names[q], pa.int64()), "target": pa.array(target[q, c], pa.int64()), "similarity": pa.array(similarity[q, c], pa.float64())})
 

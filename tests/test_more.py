@@ -258,3 +258,33 @@ def test_alike_counts_equal_a_loop_in_any_blocks(spark):
     want = {(i, j) for i in range(0, 60, 3) for j in range(60) if i != j and np.maximum(x[i], x[j]).sum() and np.minimum(x[i], x[j]).sum() / np.maximum(x[i], x[j]).sum() >= 0.5}
     for block_bytes in (100, 32 << 20):
         assert {(r["query"], r.target) for r in similarity.alike_counts(q, t, 0.5, block_bytes).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["nearest", "alike_counts"])
+def test_what_a_task_holds_does_not_grow_with_the_queries(spark, name):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    n, peak = 16000, []
+    rng = np.random.default_rng(1)
+    batch = pa.RecordBatch.from_pydict({"target": pa.array(np.arange(1024) + n), "vector": pa.array(rng.integers(1, 4000, (1024, 2)).astype(float).tolist())})
+
+    class Targets:
+        def where(self, *_):
+            return self
+
+        select = where
+
+        def mapInArrow(self, run, schema):
+            tracemalloc.start()
+            for _ in run(iter([batch])):
+                pass
+            peak.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+            return spark.createDataFrame([], schema)
+
+    queries = spark.range(n).select(F.col("id").alias("query"), F.array(F.rand(1) * 4000, F.rand(2) * 4000).alias("vector"))
+    getattr(similarity, name)(queries, Targets(), 3 if name == "nearest" else 0.9999)
+    assert len(peak) == 1 and peak[0] < 50e6
