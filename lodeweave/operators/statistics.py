@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from lodeweave.operators.order import exact_quantiles, running_by_value
 
 
 #: Draws that one SHA-1 gives: eight of five hexadecimal digits.
 _DRAWS, _DIGITS = 8, 5
+#: Rows drawn for together; sums that a task holds at most before it hands them on.
+_ROWS, _SUMS = 4096, 1 << 20
 
 
 def poisson_steps() -> list[float]:
@@ -19,28 +27,73 @@ def poisson_steps() -> list[float]:
     return [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(9)]
 
 
+@cache
+def _poisson_table() -> np.ndarray:
+    """The Poisson draw of each number of five hexadecimal digits."""
+    u = (np.arange(16**_DIGITS) + 0.5) * 16.0**-_DIGITS
+    return np.searchsorted(poisson_steps(), u).astype(np.uint8)
+
+
+def _times(items: list[str | None], replicates: int, seed: int) -> np.ndarray:
+    """How often each item comes into each replicate; a null item has no part in its hash."""
+    ends = [f":{k}".encode() for k in range(replicates // _DRAWS)]
+    heads = [f"{seed}:boot".encode() + (b"" if i is None else f":{i}".encode()) for i in items]
+    digests = b"".join([hashlib.sha1(head + end, usedforsecurity=False).digest() for head in heads for end in ends])
+    x = np.frombuffer(digests, np.uint8).reshape(-1, 5).astype(np.int32)  # five bytes are two draws
+    first = x[:, 0] << 12 | x[:, 1] << 4 | x[:, 2] >> 4
+    second = (x[:, 2] & 15) << 16 | x[:, 3] << 8 | x[:, 4]
+    return _poisson_table()[np.stack([first, second], 1)].reshape(len(items), replicates)
+
+
 def bootstrap_means(df: DataFrame, by: list[str], item: str, value: str, replicates: int, seed: int, level: float = 0.95) -> DataFrame:
     """(by, n, mean, low, high): the mean of value and its percentile interval over resampled items.
 
     An item comes into a replicate as often as a Poisson draw of mean 1 says, from a hash of seed, item and replicate:
     all groups of `by` share it, so differences and ranks stay paired, and rows never have to meet. A hash gives eight
-    draws; a row becomes one for each eight replicates inside its task and is summed there: what is shuffled is as many
-    rows as groups times replicates, however many rows there are. Rows without a value are left out; a replicate that
+    draws, which a table turns into Poisson draws; a task adds rows up by group and replicate: what is shuffled is as many
+    rows as groups times replicates of each task, however many rows there are. Rows without a value are left out; a replicate that
     draws no item gives no mean.
     """
     if replicates < 1 or replicates % _DRAWS:
         raise ValueError(f"replicates must be a multiple of {_DRAWS}")
-    steps = poisson_steps()
-    digest = F.sha1(F.concat_ws(":", F.lit(str(seed)), F.lit("boot"), F.col(item).cast("string"), F.col("block").cast("string")).cast("binary"))
-    rows = df.where(F.col(value).isNotNull()).select(*by, item, F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(replicates // _DRAWS - 1))).alias("block")).withColumn("h", digest)
-
-    def times(k: int):
-        u = (F.conv(F.substring("h", _DIGITS * k + 1, _DIGITS), 16, 10).cast("double") + 0.5) * F.lit(16.0**-_DIGITS)
-        return sum(((u > s).cast("int") for s in steps[1:]), (u > steps[0]).cast("int"))
-
-    rows = rows.select(*by, "block", "v", *[times(k).alias(f"t{k}") for k in range(_DRAWS)])
-    sums = rows.groupBy(*by, "block").agg(*[(F.sum(F.col("v") * F.col(f"t{k}")) / F.nullif(F.sum(f"t{k}"), F.lit(0))).alias(f"m{k}") for k in range(_DRAWS)])
-    means = sums.select(*by, F.explode(F.array(*[f"m{k}" for k in range(_DRAWS)])).alias("m"))
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(item).cast("string").alias("__item"), F.col(value).cast("double").alias("__v"))
+    types = [rows.schema[c] for c in by]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            held = np.array(list(sums.values())).reshape(-1, 2, replicates)
+            keys = [pa.array([k[i] for k in sums for _ in range(replicates)], kinds[i]) for i in range(len(types))]
+            b = np.tile(np.arange(replicates, dtype=np.int32), len(sums))
+            return pa.RecordBatch.from_arrays([*keys, pa.array(b), pa.array(held[:, 0].ravel()), pa.array(held[:, 1].ravel())], [*by, "b", "s", "n"])
+
+        kinds: list[pa.DataType] = []
+        for batch in batches:
+            for low in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(low, _ROWS)
+                kinds = [c.type for c in part.columns[:-2]]
+                items = part.column(len(types)).dictionary_encode(null_encoding="encode")
+                times = _times(items.dictionary.to_pylist(), replicates, seed)[items.indices.to_numpy()].astype(float)
+                v = part.column(len(types) + 1).to_numpy(zero_copy_only=False)
+                keys = list(zip(*[c.to_pylist() for c in part.columns[:-2]], strict=True)) if types else [()] * len(v)
+                known: dict[tuple, int] = {}
+                code = np.array([known.setdefault(k, len(known)) for k in keys])
+                order = np.argsort(code, kind="stable")
+                edges = np.searchsorted(code[order], np.arange(len(known) + 1))
+                for k, g in known.items():
+                    own = order[edges[g] : edges[g + 1]]
+                    found = sums.setdefault(k, np.zeros((2, replicates)))
+                    found += [v[own] @ times[own], times[own].sum(0)]
+                if len(sums) * replicates > _SUMS:
+                    yield out()
+                    sums.clear()
+        if sums:
+            yield out()
+
+    schema = StructType([*types, StructField("b", IntegerType()), StructField("s", DoubleType()), StructField("n", DoubleType())])
+    sums = rows.mapInArrow(run, schema).groupBy(*by, "b").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    means = sums.select(*by, (F.col("s") / F.nullif(F.col("n"), F.lit(0.0))).alias("m"))
     q = F.percentile("m", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
     ranges = means.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(q.alias("q"))
     on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
