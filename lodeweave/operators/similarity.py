@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Queries and targets are compared in squares of this side: what a task holds doesn't grow with either.
 _TILE = 512
+#: Groups of items by which a set meets sets of one size; sets of more items meet by single items.
+_GROUPS, _LARGE = 32, 24
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -142,18 +145,52 @@ def _best_of_block(targets: DataFrame, names: np.ndarray, vectors: np.ndarray, k
     return whole.mapInArrow(run, "query long, target long, similarity double")
 
 
+def _combinations(n: int, m: int, least: float) -> list[list[int]]:
+    """Of the items of a set of n, rare ones first: the groups of places of which a set of m that is alike enough shares one.
+
+    Two such sets share `share` items, so the first l of these are among the first n - share + l of each. The more
+    items a group has, the fewer sets share it by chance: l is as large as _GROUPS groups a set allow.
+    """
+    share = max(1, math.ceil(least / (1 + least) * (n + m) - 1e-9))
+    if share > min(n, m):
+        return []
+    spare, l = max(n, m) - share, 1
+    while l < share and math.comb(spare + l + 1, l + 1) <= _GROUPS:
+        l += 1
+    return [list(c) for c in itertools.combinations(range(n - share + l), l)]
+
+
 def set_join(sets: DataFrame, least: float) -> DataFrame:
     """(a, b, similarity) of sets (id, items) whose Tanimoto similarity is `least` or more, by prefix filtering.
 
-    Items are ordered from rare to frequent; two sets that are alike enough share an item among the first
-    n - ceil(least * n) + 1 of each, so only these are joined.
+    Equal sets are joined once. Items are ordered from rare to frequent; for each pair of sizes that can be alike enough,
+    sets meet by groups of items among the first (`_combinations`), up to all that they must share: for sets of few items
+    only pairs that are alike enough meet. Larger sets (above _LARGE) meet by single items. A pair counts where the group
+    is its first shared one, so it comes once.
     """
-    items = sets.select("id", F.explode(F.array_distinct("items")).alias("item"))
+    whole = sets.select("id", F.array_sort(F.array_distinct(F.filter("items", lambda x: x.isNotNull()))).alias("items")).where((F.size("items") > 0) & F.col("id").isNotNull())
+    # a set goes by the least id that has it; the hash tells sets apart that share a repeated id
+    distinct = whole.groupBy("items").agg(F.min("id").alias("least_id")).select("items", F.struct("least_id", F.xxhash64("items").alias("h")).alias("set"))
+    members = whole.join(distinct, "items").select("id", "set")
+    items = distinct.select("set", F.explode("items").alias("item"))
     ranked = items.join(items.groupBy("item").agg(F.count("*").alias("df")), "item")
-    ordered = ranked.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("o"))
-    n = F.size("o")
-    prefix = ordered.select("id", n.alias("n"), F.explode(F.slice("o", F.lit(1), n - F.ceil(n * least).cast("int") + 1)).alias("x")).select("id", "n", F.col("x.item").alias("item"))
-    pairs = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "item").join(prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "item"), "item")
-    pairs = pairs.where((F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * least) & (F.col("nb") >= F.col("na") * least)).select("a", "b").distinct()
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b")
-    return both.select("a", "b", set_tanimoto(F.col("ia"), F.col("ib")).alias("similarity")).where(F.col("similarity") >= least)
+    o = ranked.groupBy("set").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("o")).select("set", F.col("o.item").alias("o")).withColumn("n", F.size("o"))
+    sizes = sorted(r["n"] for r in distinct.select(F.size("items").alias("n")).where(f"n <= {_LARGE}").distinct().collect())
+    plan = [(n, n, m, c) for n in sizes for m in sizes if m >= n for c in _combinations(n, m, least)]
+    plan += [(m, n, m, c) for n in sizes for m in sizes if m > n for c in _combinations(m, n, least)]
+    table = F.broadcast(sets.sparkSession.createDataFrame(plan, "n int, low int, high int, at array<int>"))
+    small = o.join(table, "n").select("set", "o", "n", "low", "high", F.transform("at", lambda i: F.element_at("o", i + 1)).alias("group"))
+    first = F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)
+    large = o.where(F.col("n") > _LARGE * least - 1).select("set", "o", "n", F.lit(0).alias("low"), F.lit(0).alias("high"), F.explode(first).alias("x")).select("set", "o", "n", "low", "high", F.array("x").alias("group"))
+    keyed = small.unionByName(large).withColumn("key", F.xxhash64("low", "high", "group"))
+    x = keyed.select("key", "low", "high", "group", F.col("set").alias("set_x"), F.col("o").alias("x"), F.col("n").alias("nx"))
+    y = keyed.select("key", F.col("low").alias("low_y"), F.col("high").alias("high_y"), F.col("group").alias("group_y"), F.col("set").alias("set_y"), F.col("o").alias("y"), F.col("n").alias("ny"))
+    met = x.join(y, "key").where("low = low_y AND high = high_y AND group = group_y AND set_x < set_y")
+    met = met.where(((F.col("high") > 0) & (F.least("nx", "ny") == F.col("low")) & (F.greatest("nx", "ny") == F.col("high"))) | ((F.col("high") == 0) & (F.greatest("nx", "ny") > _LARGE)))
+    met = met.withColumn("both", F.array_intersect("x", "y")).where(F.slice("both", F.lit(1), F.size("group")) == F.col("group"))
+    n = F.size("both")
+    alike = met.select("set_x", "set_y", (n / (F.col("nx") + F.col("ny") - n)).alias("similarity")).where(F.col("similarity") >= least)
+    a, b = members.select(F.col("set").alias("set_x"), F.col("id").alias("a")), members.select(F.col("set").alias("set_y"), F.col("id").alias("b"))
+    other = alike.join(a, "set_x").join(b, "set_y").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+    equal = a.join(b, F.col("set_x") == F.col("set_y")).where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
+    return other.unionByName(equal)

@@ -156,3 +156,20 @@ def test_bootstrap_interval_holds_the_mean(spark):
     df = spark.range(200).select("id", (F.col("id") % 7).cast("double").alias("v"))
     r = statistics.bootstrap_mean(df, "id", "v", 200, 1).first()
     assert r.low < r.mean < r.high
+
+
+def test_set_join_meets_by_what_alike_sets_must_share(spark):
+    import itertools
+    import random
+
+    # six items alike enough have to be equal, so sets that share a host and a word don't meet any more
+    assert similarity._combinations(6, 6, 0.8) == [list(range(6))] and len(similarity._combinations(9, 9, 0.8)) == 9
+    rng = random.Random(4)
+    sets = [{f"r{rng.randrange(4)}", *rng.sample("abcdefgh", rng.randrange(1, 8))} for _ in range(70)]
+    sets += [set(map(str, range(rng.randrange(18, 34)))) - {str(rng.randrange(18))} for _ in range(40)]
+    sets += [sets[0], sets[80], set()]
+    df = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "id int, items array<string>")
+    for least in (0.5, 0.8, 1.0):
+        got = sorted((r.a, r.b, round(r.similarity, 9)) for r in similarity.set_join(df, least).collect())
+        pairs = ((a, b, len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))) for a, b in itertools.combinations(range(len(sets)), 2))
+        assert got == [(a, b, round(s, 9)) for a, b, s in pairs if s >= least]
