@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeweave.llm._common import written
+from lodeweave.llm._common import dropped, written
 
 #: What separates words: the space and the control characters from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -85,16 +85,17 @@ def permuted(i: Column, n: Column, side: Column, *keys: Column) -> Column:
 
     # outside 0 .. n - 1 with a chance under 3/4 a step: 256 steps leave 1e-32; a raised error would tell
     walked = F.aggregate(F.sequence(F.lit(1), F.lit(256)), once(i), lambda x, _: F.when(x < n, x).otherwise(once(x)))
-    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("permutation walk did not end")).cast("long"))
+    return F.transform(F.array(walked), lambda x: F.when(x < n, x).otherwise(F.raise_error(F.lit("permutation walk did not end")).cast("long")))[0]
 
 
 def slots(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 7) -> DataFrame:
-    """The output slots: rows (shard, slot, sid, block, words), words the length taken from the block's start.
+    """The output slots, as a written table: rows (shard, slot, sid, block, words), words the length taken from the block's start.
 
     A source gets ceil(target / block_words) slots, of which the last takes only what the target still lacks. Every
     slot draws its source in proportion to these numbers (a multinomial count per shard); draws that a source gets over
     its number go, in order, to the sources that got too few, so the totals hold. The table of sources is the mix's
-    configuration: its few rows become a literal.
+    configuration: its few rows become a literal. Each step is written, since the driver plans anew after each exchange,
+    all that is one plan.
     """
     spark = targets.sparkSession
     blocks = F.ceil(F.col("source_size") / block_words).cast("long")
@@ -108,7 +109,7 @@ def slots(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int =
         rest.alias("rest"),
         (full_passes * blocks + F.ceil(rest / block_words)).cast("long").alias("quota"),
     ).where("quota > 0")
-    plan = plan.withColumn("upto", F.sum("quota").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)))
+    plan = written(plan.withColumn("upto", F.sum("quota").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))), "sources")
     rows = plan.orderBy("sid").collect()
     total = rows[-1]["upto"] if rows else 0
     bounds = F.array(*[F.struct(F.lit(r["upto"]).cast("long").alias("upto"), F.lit(r["sid"]).cast("int").alias("sid")) for r in rows]) if rows else None
@@ -130,8 +131,9 @@ def slots(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int =
         .select("shard", "slot", "sid", (F.col("before") + F.col("nth")).alias("k"))
         .join(F.broadcast(plan.select("sid", "quota")), "sid")
     )
+    ranked = written(ranked, "drawn")
     kept = ranked.where("k < quota").select("shard", "slot", "sid", "k")
-    got = drawn.groupBy("sid").agg(F.count("*").alias("got"))
+    got = ranked.groupBy("sid").agg(F.count("*").alias("got"))
     balance = plan.join(got, "sid", "left").na.fill(0, ["got"])
     by_sid = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
     over = balance.where("got > quota").select("sid", "quota", F.coalesce(F.sum(F.col("got") - F.col("quota")).over(by_sid), F.lit(0)).alias("first"))
@@ -143,7 +145,11 @@ def slots(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int =
     every = kept.union(spare.join(lacking, "e").select("shard", "slot", "sid", "k")).join(F.broadcast(plan.withColumn("side", feistel_side(F.col("blocks")))), "sid")
     index = F.col("k") % F.col("blocks")
     words = F.when(F.col("k") < F.col("whole"), F.lit(block_words)).otherwise(F.least(F.lit(block_words), F.col("rest") - (F.col("k") - F.col("whole")) * block_words))
-    return every.select("shard", "slot", "sid", permuted(index, F.col("blocks"), F.col("side"), F.col("sid"), F.lit(seed)).alias("block"), words.cast("long").alias("words"))
+    every = every.select("shard", "slot", "sid", permuted(index, F.col("blocks"), F.col("side"), F.col("sid"), F.lit(seed)).alias("block"), words.cast("long").alias("words"))
+    out = written(every, "slots")
+    for t in (ranked, plan):
+        dropped(t)
+    return out
 
 
 def pieces(sizes: DataFrame, targets: DataFrame, block_words: int = BLOCK_WORDS, buckets: int = BUCKETS, seed: int = 7) -> DataFrame:
@@ -203,7 +209,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHAR
     part = F.struct(F.col("nth"), F.col("lo"), F.col("end"))
     nth = F.row_number().over(Window.partitionBy("row_id", "block").orderBy("slot"))
     takes = taken_pieces(docs, block_words, shard_slots, seed).where("end > lo").withColumn("nth", nth)
-    takes = takes.groupBy("key").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    takes = written(takes.groupBy("key").agg(F.sort_array(F.collect_list(part)).alias("parts")), "takes")
     keyed = docs.withColumn("__key", _identity()).dropDuplicates(["__key"])
     joined = keyed.join(takes.withColumnRenamed("key", "__key").withColumnRenamed("parts", "__parts"), "__key")
     words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))

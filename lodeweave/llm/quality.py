@@ -97,8 +97,8 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
 
     summed = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(BUCKETS, np.int64)
-    for r in summed.collect():
-        out[r["bucket"]] = r["n"]
+    held = summed.toArrow()
+    out[held.column("bucket").to_numpy()] = held.column("n").to_numpy()
     return out
 
 
@@ -188,8 +188,8 @@ def fitted_scores(docs: DataFrame, labels: DataFrame, keep: list[str], fit_rows:
     # the model has seen the texts it is fitted on, so the cut comes from the other half
     fit = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 2)), F.lit(2)) == 0
     ratio = log_ratio(bucket_counts(sample.where(fit & (F.col("__quality") == 1))), raw)
-    rows = scored(sample.where(~fit), ratio, ["__quality"]).where("score IS NOT NULL").collect()
-    cut = best_cut(np.array([r["score"] for r in rows]), np.array([r["__quality"] for r in rows]))
+    rows = scored(sample.where(~fit), ratio, ["__quality"]).where("score IS NOT NULL").toArrow()
+    cut = best_cut(rows.column("score").to_numpy(), rows.column("__quality").to_numpy())
     return written(scored(docs, ratio, keep), "scores"), cut
 
 
